@@ -4,9 +4,19 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse
 
 import numpy as np
+import regex
+
+#: Fixed value: how byte-level tokenizers of this family part a text before the merges.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+#: PARTS over Latin-1 characters.
+LATIN = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+#: Bytes that stand for themselves in a byte-level vocabulary; the others are written as characters from 256 on, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHER = [b for b in range(256) if b not in _PLAIN]
+WRITTEN = {b: chr(256 + i) for i, b in enumerate(_OTHER)}
 
 
 def default_path() -> str:
@@ -15,70 +25,72 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Kept(dict):
+    """A dict that makes missing values. Once it holds more than `most`, the next one starts over it,
+    and takes what is still in use from it."""
+
+    def __init__(self, make, before: dict | None = None):
+        super().__init__()
+        self.make, self.before = make, before or {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def aged(self, most: int) -> Kept:
+        if len(self) <= most:
+            return self
+        self.before = {}
+        return Kept(self.make, self)
+
+
 class WordEncoder:
     """Gives the same ids as one encode() of each whole text.
 
-    A byte-level tokenizer splits before a space that stands alone between two other
-    characters, whatever surrounds it, so such words can be encoded once and kept. A text with
-    another kind of white space beside a space, a trailing space, or a special token's string
-    is encoded as a whole.
+    Byte-level BPE merges inside the parts of PARTS only, so each part goes to the tokenizer's
+    model once and is kept while it is in use. Latin-1 texts are parted by LATIN, which finds the
+    same parts there. A text with a special token's string is encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, parts: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        size = max(vocab.values()) + 1
+        self.tokenizer, self.most = Tokenizer.from_file(path), parts
+        self.model = self.tokenizer.model
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.opens = np.zeros(size, bool)
-        for token, i in vocab.items():
-            self.opens[i] = token.startswith("Ġ")
-        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" \s", r" \Z", *special]))
-        self.words: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self._ids(" " + " ".join(words))
-        at = np.flatnonzero(self.opens[ids])
-        if len(at) != len(words) or len(at) and at[0]:
-            self.words.update((w, self._ids(" " + w).tobytes()) for w in words)
-            return
-        raw, k = ids.tobytes(), self.dtype.itemsize
-        ends = [*(at[1:] * k).tolist(), len(raw)]
-        self.words.update(zip(words, [raw[a:b] for a, b in zip((at * k).tolist(), ends, strict=True)], strict=True))
+        self.id_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = Kept(self._part)
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            written = part.replace(" ", WRITTEN[32])
+        else:
+            written = part.encode().decode("latin-1").translate(WRITTEN)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(written)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of self.dtype; null and empty texts have none."""
-        if len(self.words) > self.keep:
-            self.words.clear()
-        if len(self.firsts) > self.keep:
-            self.firsts.clear()
-        parts: list = []
-        new: set[str] = set()
-        known = self.words.__contains__
+        self.parts = self.parts.aged(self.most)
+        get, out = self.parts.__getitem__, []
         for t in texts:
             if not t:
-                parts.append(b"")
-            elif self.whole.search(t):
-                parts.append(self._ids(t).tobytes())
+                out.append(b"")
+            elif any(x in t for x in self.special):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes())
             else:
-                first, *rest = t.split(" ")
-                new.update(filterfalse(known, rest))
-                if first not in self.firsts:
-                    self.firsts[first] = self._ids(first).tobytes()
-                rest.append(first)
-                parts.append(rest)
-        words = list(new)
-        for i in range(0, len(words), 4000):
-            self._learn(words[i : i + 4000])
-        get = self.words.__getitem__
-        return [p if isinstance(p, bytes) else self.firsts[p.pop()] + b"".join(map(get, p)) for p in parts]
+                try:
+                    t.encode("latin-1")
+                    parts = LATIN.findall(t)
+                except UnicodeEncodeError:
+                    parts = PARTS.findall(t)
+                out.append(b"".join(map(get, parts)))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
