@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crownlake.llm import packing, records
+from crownlake.llm import decontam, media, packing, records, simhash, substring
 from crownlake.llm.common import table
 
 
@@ -15,12 +16,32 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_records, op8_packing)}
+    return {
+        f.__name__: f
+        for f in (op2_token_records, op5_substring_dedup, op6_decontamination, op8_packing, op9_simhash_bktree, op10_media_sniffing)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
