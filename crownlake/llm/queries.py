@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crownlake.llm import decontam, media, packing, records, simhash, substring
+from crownlake.llm import decontam, langid, media, packing, records, simhash, substring, toxicity
 from crownlake.llm.common import table
 
 
@@ -16,6 +16,20 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    identifier = langid.fit(docs.where(langid.remainder("doc_id", 4) != 2))
+    found = langid.identify(docs, identifier, keep=["doc_id"])
+    return found.select("doc_id", (langid.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = toxicity.fit(docs, labels.where(langid.remainder("doc_id", 5) != 0))
+    found = toxicity.judge(docs, judged, keep=["doc_id"])
+    return found.select("doc_id", (langid.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -40,7 +54,7 @@ def op10_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_token_records, op5_substring_dedup, op6_decontamination, op8_packing, op9_simhash_bktree, op10_media_sniffing)
+        for f in (op2_token_records, op3_language_id, op4_toxicity, op5_substring_dedup, op6_decontamination, op8_packing, op9_simhash_bktree, op10_media_sniffing)
     }
 
 
