@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crownlake.llm import decontam, langid, media, packing, records, simhash, substring, toxicity
+from crownlake.llm import decontam, langid, media, packing, records, simhash, substring, toxicity, urlrank
 from crownlake.llm.common import table
 
 
+def op1_url_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.token_records(table(spark, sf_dir, "documents"))
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset")
@@ -54,7 +58,7 @@ def op10_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_token_records, op3_language_id, op4_toxicity, op5_substring_dedup, op6_decontamination, op8_packing, op9_simhash_bktree, op10_media_sniffing)
+        for f in (op1_url_rank, op2_token_records, op3_language_id, op4_toxicity, op5_substring_dedup, op6_decontamination, op8_packing, op9_simhash_bktree, op10_media_sniffing)
     }
 
 
