@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crownlake.llm import decontam, langid, media, packing, records, simhash, substring, toxicity, urlrank
+from crownlake.llm import decontam, extract, langid, media, packing, records, simhash, substring, toxicity, urlrank
 from crownlake.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -56,10 +60,9 @@ def op10_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_url_rank, op2_token_records, op3_language_id, op4_toxicity, op5_substring_dedup, op6_decontamination, op8_packing, op9_simhash_bktree, op10_media_sniffing)
-    }
+    found = (op1_url_rank, op2_token_records, op3_language_id, op4_toxicity, op5_substring_dedup)
+    found += (op6_decontamination, op7_html_extraction, op8_packing, op9_simhash_bktree, op10_media_sniffing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
