@@ -25,6 +25,8 @@ SHARD_WORDS = 600_000
 HOT = 2048
 #: Bytes of the bitmap of repeated minimisers up to which it is broadcast; beyond, passages are joined with them.
 BITMAP_BYTES = 64 << 20
+#: Repeated windows of hot minimisers up to which they are broadcast; beyond, places are joined with them.
+BROADCAST_KEYS = 1_000_000
 MULTIPLIER = 0xD6E8FEB86659FD93
 
 _SPACE = np.zeros(256, bool)
@@ -33,6 +35,7 @@ _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 _powers: list[np.ndarray] = []
 _PASSAGE = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 PASSAGE_DDL = "key long, row long, start int, words binary"
+MARK_DDL = "row long, start int, mask long"
 _FOUND = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("mask", pa.int64())])
 
 
@@ -174,7 +177,7 @@ def _shards(window: int, shard_words: int):
     return searched
 
 
-def repeated_windows(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT, bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
+def repeated_windows(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT, bitmap_bytes: int = BITMAP_BYTES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """texts (row, text) -> (row, start, mask): bit i of mask says that the window at word start + i stands elsewhere too.
 
     Words are told apart by 32 hash bits, windows thus by window * 32. Hot minimisers' windows are
@@ -225,16 +228,46 @@ def repeated_windows(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM
                 doc = m.doc[start]
                 yield _passages(key, rows[doc], start - woff[doc], (m.h >> np.uint64(32)).astype("<u4"), start, size + window - 1)
 
+    def hot_windows(m: Minimisers) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows of hot minimisers, and a hash of the words of each."""
+        start = np.flatnonzero(m.inside & is_hot(m.least)) if len(m.least) else np.zeros(0, np.int64)
+        key = np.zeros(len(start), np.uint64)
+        for i in range(window):
+            key = key * np.uint64(MULTIPLIER) + m.h[start + i]
+        return start, _mixed(key)
+
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of hot minimisers, each under a hash of its own words."""
+        """The different windows of hot minimisers in each step, and how often they stand there."""
+        for _, _, m in step_minimisers(batches):
+            start, key = hot_windows(m)
+            if len(start):
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                start = start[first]
+                yield _passages(key, n, np.zeros(len(start), np.int64), (m.h >> np.uint64(32)).astype("<u4"), start, np.full(len(start), window))
+
+    def placed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, woff, m in step_minimisers(batches):
-            start = np.flatnonzero(m.inside & is_hot(m.least)) if len(m.least) else np.zeros(0, np.int64)
+            start, key = hot_windows(m)
             if len(start):
-                key = np.zeros(len(start), np.uint64)
-                for i in range(window):
-                    key = key * np.uint64(MULTIPLIER) + m.h[start + i]
                 doc = m.doc[start]
-                yield _passages(_mixed(key), rows[doc], start - woff[doc], (m.h >> np.uint64(32)).astype("<u4"), start, np.full(len(start), window))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rows[doc]), pa.array((start - woff[doc]).astype(np.int32))], names=["key", "row", "start"])
+
+    def marked_by(repeated: DataFrame):
+        keys = spark.sparkContext.broadcast(np.sort(repeated.toArrow().column("key").to_numpy()))
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, woff, m in step_minimisers(batches):
+                start, key = hot_windows(m)
+                start = start[np.isin(key.view(np.int64), keys.value)]
+                if len(start):  # up to `span` windows of a text that begin near each other share a mask
+                    doc = m.doc[start]
+                    group = doc * (1 << 32) + (start - woff[doc]) // span
+                    new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+                    base = (start - woff[doc]) // span * span
+                    mask = np.bitwise_or.reduceat(np.int64(1) << (start - woff[doc] - base), new)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[doc[new]]), pa.array(base[new].astype(np.int32)), pa.array(mask)], names=["row", "start", "mask"])
+
+        return marked
 
     def search(passages: DataFrame) -> DataFrame:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -247,9 +280,14 @@ def repeated_windows(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM
     found = search(passages).select("row", "start", "mask")
     if len(hot_keys):
         windows = texts.mapInArrow(single, PASSAGE_DDL)
-        summed = windows.groupBy("key", "words").agg(F.count("*").alias("weight"), F.lit(0).cast("long").alias("row"), F.lit(0).alias("start"))
-        repeated = search(summed.select("key", "row", "start", "words", "weight")).select("key", "mask")
-        found = found.unionByName(windows.select("key", "row", "start").join(repeated, "key").select("row", "start", "mask"))
+        summed = windows.groupBy("key", "words").agg(F.sum("row").alias("weight"))
+        repeated = search(summed.select("key", F.lit(0).cast("long").alias("row"), F.lit(0).alias("start"), "words", "weight")).select("key")
+        repeated = stored(repeated, "hot-windows")
+        if repeated.count() <= broadcast_keys:
+            found = found.unionByName(texts.mapInArrow(marked_by(repeated), MARK_DDL))
+        else:
+            placed = texts.mapInArrow(placed_windows, "key long, row long, start int")
+            found = found.unionByName(placed.join(repeated, "key").select("row", "start", F.lit(1).cast("long").alias("mask")))
     return found
 
 
