@@ -45,17 +45,42 @@ class Forest:
             query = np.repeat(query, count)
             node = self.children[np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
 
-    def components(self, radius: int, block: int = 4096) -> np.ndarray:
-        """For each print the smallest index of those that links within its bucket reach."""
+    def components(self, radius: int, block: int = 2048, pivots: int = 6) -> np.ndarray:
+        """For each print the smallest index of those that links within its bucket reach.
+
+        First a few prints of each bucket look for theirs, each the first that is still outside the
+        bucket's largest class. A link between two prints of that class adds nothing, so only the
+        prints outside it search then; every other link has an end among them.
+        """
         n = len(self.prints)
         label = np.arange(n)
         size = np.bincount(self.root, minlength=n)[self.root]
         busy = np.flatnonzero(size > 1)
-        for i in range(0, len(busy), block):
-            for a, b in self.links(busy[i : i + block], radius):
+        outside = busy
+        for _ in range(pivots):
+            if len(outside) <= len(busy) // 16:
+                break
+            _, at = np.unique(self.root[outside], return_index=True)
+            label = self._searched(label, outside[at], radius, block)
+            outside = busy[~self._in_largest(label)[busy]]
+        return self._searched(label, outside, radius, block)
+
+    def _searched(self, label: np.ndarray, query: np.ndarray, radius: int, block: int) -> np.ndarray:
+        for i in range(0, len(query), block):
+            for a, b in self.links(query[i : i + block], radius):
                 label = join(label, a, b)
         return label
 
+    def _in_largest(self, label: np.ndarray) -> np.ndarray:
+        """Which prints belong to the largest class of their bucket, if it has two members or more."""
+        count = np.bincount(label, minlength=len(label))
+        order = np.lexsort((-count[label], self.root))
+        root = self.root[order]
+        best = np.full(len(label), -1)
+        first = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1])))
+        best[root[first]] = label[order[first]]
+        return (best[self.root] == label) & (count[label] > 1)
+
 
 def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Merge the classes of linked a and b; label: each item's smallest member so far."""

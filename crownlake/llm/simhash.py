@@ -65,7 +65,7 @@ def bucket_keys(print_: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> C
     for choice in combinations(range(blocks), blocks - radius):
         m = sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in choice)
         masks.append(m - (1 << 64) if m >> 63 else m)
-    return F.array(*[F.struct(F.lit(i).alias("choice"), print_.bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
+    return F.array(*[F.struct(F.lit(i).cast("long").alias("choice"), print_.bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
 
 
 def _trees(radius: int):
@@ -108,8 +108,9 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: i
 
     prints: distinct, one column `print`. Each bucket of prints that agree on some blocks has a
     BK-tree; the edges of a bucket join each print to the first of its class. A bucket above `tree`
-    prints is not searched in one task: its prints meet at the midpoints of their links, all prints
-    within half the radius of a print, so that no pair is lost and no group is larger than that ball.
+    prints is not searched in one task: for a radius up to 4 its prints meet at the midpoints of their
+    links, all prints within half the radius of a print, so that no pair is lost and no group is
+    larger than that ball; for a larger radius it is cut up and each two cuts share a tree.
     """
     spark = prints.sparkSession
     rows = prints.select("print", F.explode(bucket_keys(F.col("print"), radius, blocks)).alias("key")).select("key.choice", "key.bits", "print")
@@ -117,7 +118,7 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: i
     hot = stored(counts, "hot-buckets")
     n_hot = hot.count()
     edges = []
-    if n_hot:
+    if n_hot and radius <= 4:
         many = rows.join(hot, ["choice", "bits"], "left_semi").select("print").distinct()
         rows = rows.join(hot, ["choice", "bits"], "left_anti")
         half = (radius + 1) // 2
@@ -126,9 +127,16 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: i
         met = many.join(F.broadcast(flips)).select("print", F.explode("flips").alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("mid"))
         met = met.groupBy("mid").agg(F.min("print").alias("b"), F.collect_list("print").alias("all")).where(F.size("all") > 1)
         edges.append(met.select(F.explode("all").alias("a"), "b").where("a <> b").distinct())
+    elif n_hot:
+        cut = rows.join(hot.select("choice", "bits", F.ceil(F.col("n") / (tree // 2)).alias("cuts")), ["choice", "bits"])
+        rows = rows.join(hot, ["choice", "bits"], "left_anti")
+        own = F.pmod(F.xxhash64("print"), F.col("cuts"))
+        cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        pair = 1 + F.least("own", "other") * F.col("cuts") + F.greatest("own", "other")
+        rows = rows.unionByName(cut.select((F.col("choice") + 1000 * pair).alias("choice"), "bits", "print"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     trees = rows.repartition(parts, "choice", "bits").sortWithinPartitions("choice", "bits", "print")
-    edges.append(trees.select(F.col("choice").cast("long").alias("choice"), "bits", "print").mapInArrow(_trees(radius), "a long, b long"))
+    edges.append(trees.select("choice", "bits", "print").mapInArrow(_trees(radius), "a long, b long"))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
