@@ -55,7 +55,7 @@ class WordEncoder:
     same parts there. A text with a special token's string is encoded as a whole.
     """
 
-    def __init__(self, path: str, parts: int = 400_000):
+    def __init__(self, path: str, parts: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

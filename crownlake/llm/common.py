@@ -35,7 +35,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches between the JVM and Python hold at most so much, since texts may be long.
+BATCH_BYTES, BATCH_ROWS = "8m", "4000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to sizes that long texts need."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from crownlake.llm.bpe import default_path, encoder
 from crownlake.llm.common import arrow, scratch, steps
 
-SHARD_BYTES, MAX_SHARDS = 32 << 20, 100_000
+SHARD_BYTES, MAX_SHARDS = 16 << 20, 100_000
 LEAST = -(1 << 63)
 _FRAMED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("frame", pa.binary())])
 _INDEX = pa.schema(
