@@ -136,7 +136,7 @@ def dilate(spark, d):
     return raster.dilated(pixels(spark, d), 1, (), H, W_)
 
 
-@query(f"""WITH p AS (SELECT y::INTEGER AS y, x::INTEGER AS x, coalesce(label, 0) AS label FROM (SELECT unnest(range({H})) AS y), (SELECT unnest(range({W_})) AS x) LEFT JOIN {_PIXELS} USING (y, x))
+@query(f"""WITH p AS (SELECT y::INTEGER AS y, x::INTEGER AS x, coalesce(label, 0) AS label FROM (SELECT * FROM (SELECT unnest(range({H})) AS y), (SELECT unnest(range({W_})) AS x)) LEFT JOIN {_PIXELS} USING (y, x))
 SELECT a.y, a.x, a.label FROM p a, p b WHERE abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.label > 0 GROUP BY 1, 2, 3 HAVING min(b.label) <> max(b.label)""")
 def dilate_boundary(spark, d):
     return raster.boundary(pixels(spark, d), H, W_)
