@@ -146,7 +146,8 @@ def to_pixel(x, y, affine: tuple[float, ...]) -> tuple[Column, Column]:
 
 def centimetres(height_m) -> Column:
     """Fixed point with 0 for no value."""
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(65535), F.rint(_c(height_m) * 100).cast("int"))), F.lit(0))
+    cm = F.greatest(F.lit(1.0), F.least(F.lit(65535.0), F.rint(_c(height_m) * 100))).cast("int")
+    return F.when(_c(height_m).isNotNull(), cm).otherwise(F.lit(0))
 
 
 def quantised(x, offset, scale) -> Column:

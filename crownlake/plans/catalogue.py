@@ -43,11 +43,11 @@ def oracle_sql() -> dict[str, str]:
 # summaries -------------------------------------------------------------------------------------
 
 
-@query("""SELECT l_returnflag AS folder, count(*) AS n, round(median(l_extendedprice), 2) AS med_diameter, round(median(l_quantity), 2) AS med_compactness,
-round(avg(l_discount), 2) AS mean_coverage FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1""")
+@query("""SELECT l_returnflag AS folder, count(*) AS n, round(median(l_extendedprice), 4) AS med_diameter, round(median(l_quantity), 4) AS med_compactness,
+round(avg(l_discount), 4) AS mean_coverage FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1""")
 def folder_summary(spark, d):
     t = load(spark, d, "lineitem").withColumnRenamed("l_returnflag", "folder")
-    return tables.group_summary(t, ["folder"], medians={"med_diameter": "l_extendedprice", "med_compactness": "l_quantity"}, means={"mean_coverage": "l_discount"})
+    return tables.group_summary(t, ["folder"], medians={"med_diameter": "l_extendedprice", "med_compactness": "l_quantity"}, means={"mean_coverage": "l_discount"}, digits=4)
 
 
 @query("""SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS units, round(count(*) / count(DISTINCT o_custkey), 1) AS per_unit FROM orders GROUP BY 1""")
