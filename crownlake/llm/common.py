@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,31 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+#: What each kind of task keeps in its Python worker for later tasks, by the kind's name: how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+_owner = [""]
+
+
+def keeps(name: str, clear: Callable[[], None]) -> None:
+    _kept[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called by a task before it uses what it keeps: what other kinds of tasks left in this worker goes first."""
+    if _owner[0] == name:
+        return
+    _owner[0] = name
+    for other, clear in _kept.items():
+        if other != name:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

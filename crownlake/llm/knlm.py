@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crownlake.llm.common import steps, utf8
+from crownlake.llm.common import claim, steps, stored, utf8
 
 STEP = 1 << 20
 #: Grams that a model holds at most: rarer ones go first, all of one count together.
@@ -26,12 +26,13 @@ _symbols: list[np.ndarray] = []
 def symbol_table() -> np.ndarray:
     """The symbol of each code point; 0 for what is no letter."""
     if not _symbols:
-        cp = np.arange(0x110000, dtype=np.int64)
-        chars = [chr(c) for c in range(0x110000)]
-        letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-        low = np.fromiter((ord(c.lower()[0]) for c in chars), np.int64, len(chars))
-        own = np.where(low < 256, low, 1 + (low * 2654435761 >> 7) % 255)
-        _symbols.append(np.where(letter, own, 0 * cp).astype(np.uint8))
+        out = np.zeros(0x110000, np.uint8)
+        for start in range(0, len(out), 1 << 14):
+            for c in map(chr, range(start, start + (1 << 14))):
+                if c.isalpha():
+                    low = ord(c.lower()[0])
+                    out[ord(c)] = low if low < 256 else 1 + (low * 2654435761 >> 7) % 255
+        _symbols.append(out)
     return _symbols[0]
 
 
@@ -72,6 +73,7 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
     """texts (text, class int) -> (key, class, n) over all texts; each task sums its own before rows move."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("knlm")
         held: dict[int, list] = {}
         size = 0
 
@@ -89,11 +91,11 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
                     k, n = np.unique(key[own == c], return_counts=True)
                     held.setdefault(c, []).append((k, n))
                     size += len(k)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     for c, parts in held.items():
                         held[c] = [_summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))]
                     size = sum(len(p[0][0]) for p in held.values())
-                    if size > 2_000_000:
+                    if size > 1_000_000:
                         yield from out()
                         held, size = {}, 0
         yield from out()
@@ -103,6 +105,7 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
 
 def gathered(counts: DataFrame, most: int = MOST_GRAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, classes and counts on the driver, at most `most` rows: beyond, the lowest counts are left out."""
+    counts = stored(counts, "grams")
     by_count = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("rows")).collect()
     least, total = 0, sum(r.rows for r in by_count)
     for r in sorted(by_count, key=lambda r: r.n):
@@ -113,6 +116,13 @@ def gathered(counts: DataFrame, most: int = MOST_GRAMS) -> tuple[np.ndarray, np.
     return tuple(t.column(c).to_numpy() for c in ("key", "class", "n"))
 
 
+def sampled(df: DataFrame, rows: int, total: int, seed: int = 7) -> DataFrame:
+    """About `rows` of `total` rows, each by a hash of its place: nothing moves, and copies don't come together."""
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * rows / total))
+
+
 class Model:
     """Log probabilities of a symbol after the order - 1 before it, one for each class.
 

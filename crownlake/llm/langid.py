@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from crownlake.llm.common import steps, utf8
-from crownlake.llm.knlm import STEP, Model, count_grams, gathered, grams, symbols
+from crownlake.llm.common import claim, steps, utf8
+from crownlake.llm.knlm import STEP, Model, count_grams, gathered, grams, sampled, symbols
 
 ORDER = 4
-#: Labelled texts that calibration looks at, the first by a hash of their content.
+#: Labelled texts that calibration looks at, about so many, chosen by a hash of their place.
 CALIBRATION_ROWS = 4000
 #: Texts with fewer symbols are never rejected.
 REJECT_SYMBOLS = 40
@@ -24,7 +24,7 @@ UNKNOWN = "und"
 
 @dataclass
 class Identifier:
-    model: Model
+    model: Model | None
     languages: list[str]
     #: Bits of cross-entropy by which a language leads count this much in the score.
     sharpness: float
@@ -33,11 +33,11 @@ class Identifier:
 
     def measure(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nats a symbol in each language [texts, languages], and symbols of each text."""
-        sym, place, kept = symbols(raw, off, self.model.order)
+        sym, place, kept = symbols(raw, off, self.model.order if self.model else 1)
         n = np.diff(kept)
         total = np.zeros((len(n), len(self.languages)))
         full = np.flatnonzero(n)
-        if len(full):
+        if len(full) and self.model:
             total[full] = np.add.reduceat(self.model.score(grams(sym, place, self.model.order)), kept[:-1][full], axis=0, dtype=np.float64)
         return -total / np.maximum(n, 1)[:, None], n
 
@@ -56,20 +56,21 @@ class Identifier:
 def fit(labelled: DataFrame, *, order: int = ORDER, rows: int = CALIBRATION_ROWS) -> Identifier:
     """Learn from labelled (text, lang): counts cover all rows with a text and a lang.
 
-    `rows` of them calibrate: sharpness maximises the likelihood of their languages, and a
+    About `rows` of them calibrate: sharpness maximises the likelihood of their languages, and a
     language's limit lies as far above the 99.9th percentile of its texts' cross-entropy as that
     lies above the median, so that only texts unlike any of its own are rejected.
     """
     spark = labelled.sparkSession
     known = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
-    dim = spark.createDataFrame(list(zip(languages, range(len(languages)), strict=True)) or [("", -1)], "lang string, class int")
+    per_language = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    languages = sorted(r.lang for r in per_language)
+    if not languages:
+        return Identifier(None, [], 1.0, np.zeros(0))
+    dim = spark.createDataFrame(list(zip(languages, range(len(languages)), strict=True)), "lang string, class int")
     classed = known.join(F.broadcast(dim), "lang").select("text", "class")
     key, cls, n = gathered(count_grams(classed, order))
     model = Model(key, cls, n, len(languages), order)
     out = Identifier(model, languages, 10.0, np.full(len(languages), np.inf))
-    if not languages:
-        return out
     sent = spark.sparkContext.broadcast(out)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +79,7 @@ def fit(labelled: DataFrame, *, order: int = ORDER, rows: int = CALIBRATION_ROWS
                 h, n = sent.value.measure(*utf8(b.column(b.schema.get_field_index("text"))))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("class")), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], names=["class", "h", "n"])
 
-    sample = classed.withColumn("by", F.xxhash64("text", "class")).orderBy("by", "class").limit(rows).select("text", "class")
+    sample = sampled(classed, rows, sum(r.n for r in per_language))
     seen = sample.mapInArrow(measured, "class int, h array<double>, n long").where("n > 0").collect()
     if seen:
         h, y, n = np.array([r.h for r in seen]), np.array([r["class"] for r in seen]), np.array([r.n for r in seen])
@@ -109,6 +110,7 @@ def identify(docs: DataFrame, identifier: Identifier, *, keep: list[str] | None
     sent = docs.sparkSession.sparkContext.broadcast(identifier)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("knlm")
         for batch in batches:
             for b in steps(batch, "text", STEP):
                 lang, score, rejected = sent.value.decide(*sent.value.measure(*utf8(b.column(b.schema.get_field_index("text")))))

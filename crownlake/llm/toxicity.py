@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from crownlake.llm.common import steps, utf8
+from crownlake.llm.common import claim, steps, utf8
 from crownlake.llm.knlm import STEP, Model, count_grams, gathered, grams, symbols
 
 ORDER = 5
-#: Labelled rows that the logistic calibration is fitted on, the first by a hash of their doc_id.
+#: Labelled rows that the logistic calibration is fitted on, about so many, chosen by a hash of their doc_id.
 CALIBRATION_ROWS = 20_000
+#: Labelled ids up to which the labels go to the texts; beyond, both are dealt out by id.
+BROADCAST_LABELS = 500_000
 FEATURES = 9
 
 
@@ -97,14 +99,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, rows: int = C
 
     Counts cover all labelled texts; the lower orders of both classes share them, so an expression
     that either class has hardly seen decides nothing. A doc_id with labels of both kinds counts as
-    toxic; null labels, texts and ids are left out. The calibration is fitted on `rows` texts of one
+    toxic; null labels, texts and ids are left out. The calibration is fitted on about `rows` texts of one
     half of the ids with a model of the other half. With a single class the score is its share.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.select(F.col("doc_id").alias("k"), "y", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
     texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("text"))
-    classed = texts.join(known, "k").select("text", (F.col("half") * 2 + F.col("y")).alias("class"))
+    few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    classed = texts.join(F.broadcast(known) if few else known, "k").select("text", (F.col("half") * 2 + F.col("y")).alias("class"))
     key, cls, n = gathered(count_grams(classed, order))
     rate = known.agg(F.avg("y")).first()[0]
     out = Judge()
@@ -123,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, rows: int = C
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     pool = known.where("half = 1") if half else known
-    sample = pool.withColumn("by", F.xxhash64("k", F.lit(7))).orderBy("by", "k").limit(rows)
+    share = int((1 << 40) * min(1.0, rows / max(1, pool.count())))
+    sample = pool.where(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 40)) < share)
     seen = texts.join(F.broadcast(sample.select("k", "y")), "k").select("text", "y").mapInArrow(measured, "y int, x array<double>").collect()
     x, y = np.array([r.x for r in seen]).reshape(-1, FEATURES), np.array([r.y for r in seen], float)
     if len(np.unique(y)) == 2:
@@ -147,6 +151,7 @@ def judge(docs: DataFrame, judged: Judge, *, keep: list[str] | None = None) -> D
     sent = docs.sparkSession.sparkContext.broadcast(judged)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("knlm")
         for batch in batches:
             for b in steps(batch, "text", STEP):
                 s = sent.value.scores(*utf8(b.column(b.schema.get_field_index("text"))))
