@@ -79,3 +79,33 @@ def densest_window(pixels: DataFrame, size: int, by: Sequence[str] = ()) -> Data
     counts = wide.where(fits).groupBy(*by, "top", "left").agg(F.count_distinct("label").alias("n"))
     w = W.partitionBy(*by).orderBy(F.desc("n"), "top", "left")
     return counts.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def strided(df: DataFrame, by: Sequence[str], order: Sequence, start: int = 0, stride: int = 1, count: int | None = None) -> DataFrame:
+    """Every stride-th row from `start` on, `count` at most: frame selection of a video."""
+    w = W.partitionBy(*by).orderBy(*order)
+    out = df.withColumn("__i", F.row_number().over(w) - 1 - start).where((F.col("__i") >= 0) & (F.col("__i") % stride == 0))
+    return (out.where(F.col("__i") < count * stride) if count is not None else out).drop("__i")
+
+
+def best_setting(df: DataFrame, by: Sequence[str], gain: Column, order: Sequence) -> DataFrame:
+    """The row with the highest gain of each group; ties go by an explicit order."""
+    return df.withColumn("__rn", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(gain), *order))).where("__rn = 1").drop("__rn")
+
+
+def early_best(df: DataFrame, by: Sequence[str], epoch: str, metric: str, lower: bool = False) -> DataFrame:
+    """The first epoch that reaches the best metric, and how many epochs are done."""
+    w = W.partitionBy(*by)
+    out = df.withColumn("__rn", F.row_number().over(w.orderBy(F.asc(metric) if lower else F.desc(metric), epoch))).withColumn("epochs", F.count("*").over(w))
+    return out.where("__rn = 1").drop("__rn")
+
+
+def interleaved(df: DataFrame, group: str, item: str, groups: int, block: int, seed: int = 0) -> DataFrame:
+    """A reading plan: groups in hash order, `groups` of them at a time, each giving `block` items in turn.
+
+    Column `place` orders the rows; neighbours come from different groups while several have items left.
+    """
+    ranked = df.select(group).distinct().withColumn("__g", F.row_number().over(W.orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)) - 1)
+    own = df.join(ranked, group).withColumn("__i", F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.col(item), F.lit(seed)), item)) - 1)
+    order = [F.floor(F.col("__g") / groups), F.floor(F.col("__i") / block), F.col("__i") % block, F.col("__g")]
+    return own.withColumn("place", F.row_number().over(W.orderBy(*order)) - 1).drop("__g", "__i")

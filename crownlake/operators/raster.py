@@ -259,3 +259,47 @@ def touches_inner_edge(x0: Column, y0: Column, x1: Column, y1: Column, tile: tup
     """Whether a mask (in tile coordinates) touches a tile border that is no image border: it is cut there."""
     tx0, ty0, tx1, ty1 = tile
     return ((x0 == 0) & (tx0 > 0)) | ((y0 == 0) & (ty0 > 0)) | ((x1 == tx1 - tx0) & (tx1 < width)) | ((y1 == ty1 - ty0) & (ty1 < height))
+
+
+def median_colour(pixels: DataFrame, colours: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Median L*, a* and b* of each label. colours: (by, y, x, r, g, b)."""
+    from crownlake.functions.scalar import lab
+
+    both = pixels.join(colours, [*by, "y", "x"])
+    parts = lab(F.col("r").cast("double"), F.col("g").cast("double"), F.col("b").cast("double"))
+    both = both.select(*by, "label", *[c.alias(n) for c, n in zip(parts, ("l", "ca", "cb"), strict=True)])
+    return both.groupBy(*by, "label").agg(*[F.median(c).alias(c) for c in ("l", "ca", "cb")])
+
+
+def reflected(at: Column, size: int) -> Column:
+    """Index of a border mirrored without its edge pixel."""
+    period = max(1, 2 * (size - 1))
+    p = F.pmod(at, F.lit(period))
+    return F.when(p < size, p).otherwise(period - p).cast("int")
+
+
+def crop(surface: DataFrame, cx: int, cy: int, side: int, height: int, width: int, by: Sequence[str] = ()) -> DataFrame:
+    """A side * side window around a centre; beyond the image its mirror counts. Gives (by, v, u, value)."""
+    spark = surface.sparkSession
+    base = spark.range(side * side).select((F.floor(F.col("id") / side)).cast("int").alias("v"), (F.col("id") % side).cast("int").alias("u"))
+    base = base.withColumn("y", reflected(F.col("v") + (cy - side // 2), height)).withColumn("x", reflected(F.col("u") + (cx - side // 2), width))
+    return surface.join(F.broadcast(base), ["y", "x"]).select(*by, "v", "u", "value")
+
+
+def pooled_parallax(pairs: DataFrame, least_shift: float, least_overlap: float, by: Sequence[str] = ("folder", "stem")) -> DataFrame:
+    """Maps of pairs with enough shift and overlap, each divided by its shift, then their mean at each pixel.
+
+    pairs: (by, partner, shift, overlap, y, x, value).
+    """
+    good = pairs.where((F.col("shift") >= least_shift) & (F.col("overlap") >= least_overlap))
+    return good.groupBy(*by, "y", "x").agg(F.avg(F.col("value") / F.col("shift")).alias("value"), F.count("*").alias("pairs"))
+
+
+def target_maps(pixels: DataFrame, height: int, width: int, sigma: float = 0.25, by: Sequence[str] = ()) -> DataFrame:
+    """Training targets at each label pixel: interior, border, and a Gaussian around the label's centre."""
+    zones = zonal(pixels, by)
+    edge = boundary(pixels, height, width, by).select(*by, "y", "x", F.lit(1).alias("border"))
+    out = pixels.join(zones.select(*by, "label", "cx", "cy", "area"), [*by, "label"]).join(edge, [*by, "y", "x"], "left")
+    d2 = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
+    s = sigma * diameter(F.col("area"))
+    return out.select(*by, "y", "x", "label", F.coalesce("border", F.lit(0)).alias("border"), (1 - F.coalesce("border", F.lit(0))).alias("interior"), F.exp(-d2 / (2 * s * s)).alias("centre"))

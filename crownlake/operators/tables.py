@@ -194,3 +194,47 @@ def group_split(df: DataFrame, group: str, share: float = 0.25, seed: int = 0) -
     return df.join(groups.select(group, "held_out"), group)
 
 
+
+
+def encoded(df: DataFrame, column: str, start: int = 0, name: str = "class_id") -> DataFrame:
+    """Class ids by sorted value, from `start`; the dictionary is a small table."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    ids = values.withColumn(name, (F.row_number().over(W.orderBy(column)) - 1 + start).cast("int"))
+    return df.join(ids, column, "left")
+
+
+def rescaled(df: DataFrame, factor: Column, boxes: Sequence[str] = ("x0", "y0", "x1", "y1"), dx: Column | None = None, dy: Column | None = None) -> DataFrame:
+    """Box columns divided by a factor, then moved by a tile's origin."""
+    for c in boxes:
+        move = (dx if c[0] == "x" else dy) if dx is not None else None
+        df = df.withColumn(c, F.col(c) / factor + (move if move is not None else F.lit(0)))
+    return df
+
+
+def counted_filter(df: DataFrame, keep: Column, name: str = "skipped"):
+    """(rows that pass, observation with the number of those that do not): no second pass over df."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count_if(~F.coalesce(keep, F.lit(False))).alias("rows")).where(keep), seen
+
+
+def settings(pairs: Sequence[str]) -> dict[str, float]:
+    """['a=1', 'b=2.5'] as a map; ValueError for a part without '='."""
+    out = {}
+    for p in pairs:
+        key, sign, number = p.partition("=")
+        if not sign:
+            raise ValueError(f"{p!r} is not KEY=VALUE")
+        out[key.strip()] = float(number)
+    return out
+
+
+def binned_share(df: DataFrame, by: Sequence[str], condition: Column, digits: int = 6) -> DataFrame:
+    return keyed(df, by).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(condition.cast("double")), digits).alias("share"))
+
+
+def equal_quota(frames: Sequence[DataFrame], rows: int, key: str, seed: int = 0) -> DataFrame:
+    """The same number of rows of every source, chosen by hash order."""
+    own = [f.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows) for f in frames]
+    return union_all(own)

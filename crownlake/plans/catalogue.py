@@ -457,3 +457,60 @@ def hashed_sample(spark, d):
 @query()
 def group_split(spark, d):
     return tables.group_split(load(spark, d, "supplier"), "s_nationkey").select("s_suppkey", "s_nationkey", "held_out")
+
+
+@query("""SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment)::INTEGER AS class_id FROM customer""")
+def encode_classes(spark, d):
+    return tables.encoded(load(spark, d, "customer"), "c_mktsegment", 1).select("c_custkey", "class_id")
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 - 2 AS i FROM events) WHERE i >= 0 AND i % 3 = 0 AND i < 12""")
+def frame_selection(spark, d):
+    return rank.strided(load(spark, d, "events"), ["user_id"], ["event_id"], 2, 3, 4).select("user_id", "event_id")
+
+
+@query("""SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size * p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1""")
+def best_setting(spark, d):
+    t = rank.best_setting(load(spark, d, "part"), ["p_brand"], F.col("p_size") * F.col("p_retailprice"), ["p_partkey"])
+    return t.select("p_brand", "p_partkey")
+
+
+@query("""SELECT user_id, event_id AS epoch, value, epochs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS epochs FROM events) WHERE rn = 1""")
+def early_best(spark, d):
+    t = rank.early_best(load(spark, d, "events"), ["user_id"], "event_id", "value")
+    return t.select("user_id", F.col("event_id").alias("epoch"), "value", "epochs")
+
+
+@query()
+def interleaved_plan(spark, d):
+    return rank.interleaved(load(spark, d, "supplier"), "s_nationkey", "s_suppkey", 3, 2).select("s_nationkey", "s_suppkey", "place")
+
+
+@query("""SELECT l_linestatus, count(*) AS n, round(avg((l_discount > 0.05)::INT), 6) AS share FROM lineitem GROUP BY 1""")
+def condition_share(spark, d):
+    return tables.binned_share(load(spark, d, "lineitem"), ["l_linestatus"], F.col("l_discount") > 0.05)
+
+
+@query("""SELECT c.c_mktsegment, m.model, count(*) AS n, round(avg(c.c_acctbal * m.f), 4) AS mean FROM customer c, (SELECT unnest(['a', 'b', 'c']) AS model, unnest([0.5, 1.0, 2.0]) AS f) m GROUP BY 1, 2""")
+def parameter_grid(spark, d):
+    grid = spark.createDataFrame([("a", 0.5), ("b", 1.0), ("c", 2.0)], "model string, f double")
+    t = load(spark, d, "customer").crossJoin(F.broadcast(grid))
+    return t.groupBy("c_mktsegment", "model").agg(F.count("*").alias("n"), F.round(F.avg(F.col("c_acctbal") * F.col("f")), 4).alias("mean"))
+
+
+@query("""WITH x AS (SELECT o_orderpriority AS site, o_custkey AS crop, o_totalprice / 1000 AS d, o_totalprice / 900 AS g FROM orders), m AS (SELECT site, crop % 7 AS crop, avg(abs(d - g) / g) AS a, avg(abs(d - g)) AS b FROM x GROUP BY 1, 2),
+s AS (SELECT site, avg(a) AS a, avg(b) AS b FROM m GROUP BY 1) SELECT count(*) AS sites, round(avg(a), 6) AS absrel, round(avg(b), 6) AS mae FROM s""")
+def depth_evaluation(spark, d):
+    from crownlake.operators import height
+
+    t = load(spark, d, "orders").select(F.col("o_orderpriority").alias("site"), (F.col("o_custkey") % 7).alias("crop"), F.lit(80.0).alias("altitude_m"), (F.col("o_totalprice") / 1000).alias("d_pred"), (F.col("o_totalprice") / 900).alias("d_gt"))
+    overall, _ = height.depth_report(t, {"raw": "d_pred"})
+    return overall.select("sites", F.round("absrel", 6).alias("absrel"), F.round("mae", 6).alias("mae"))
+
+
+@query("""SELECT l_linenumber AS crop, round(avg(l_quantity * 100 / p), 6) AS mean FROM lineitem JOIN (SELECT l_linenumber, quantile_cont(l_quantity, 0.95) AS p FROM lineitem GROUP BY 1) USING (l_linenumber) GROUP BY 1""")
+def height_anchor(spark, d):
+    from crownlake.operators import height
+
+    t = load(spark, d, "lineitem").select(F.col("l_linenumber").alias("crop"), F.col("l_quantity").alias("d_pred"), F.lit(100.0).alias("altitude_m"))
+    return height.anchored(t, ["crop"]).groupBy("crop").agg(F.round(F.avg("d_anchor"), 6).alias("mean"))

@@ -194,3 +194,47 @@ def species_polygons(spark: SparkSession, path: str, field: str) -> DataFrame:
 
 def crown_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
+
+
+def depth_pngs(spark: SparkSession, path: str, model: str = "") -> DataFrame:
+    """8-bit surfaces named folder__stem, already inverted and scaled to 0..255, as rows like surfaces()."""
+
+    def decode(r):
+        a = codecs.png_decode(r["content"])
+        folder, _, stem = r["stem"].partition("__")
+        yield model, folder, stem or None, a.shape[0], a.shape[1], (a / (255.0 if a.dtype.itemsize == 1 else 65535.0)).ravel().tolist()
+
+    raw = files(spark, path, (".png",)).where(F.col("stem").contains("__"))
+    return _decoded(raw, "model string, folder string, stem string, height int, width int, values array<float>", decode)
+
+
+def window(surface_rows: DataFrame, x0: int, y0: int, x1: int, y1: int, out: tuple[int, int]) -> DataFrame:
+    """A window of each pre-tiled raster row, averaged down (or repeated up) to `out` (height, width)."""
+    import numpy as np
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                a = np.array([np.nan if v is None else v for v in r["values"]], float).reshape(r["height"], r["width"])[y0:y1, x0:x1]
+                ys, xs = (np.linspace(0, n, k + 1) for n, k in zip(a.shape, out, strict=True))
+                b = np.full(out, np.nan)
+                for i in range(out[0]):
+                    for j in range(out[1]):
+                        c = a[int(ys[i]) : max(int(ys[i]) + 1, int(ys[i + 1])), int(xs[j]) : max(int(xs[j]) + 1, int(xs[j + 1]))]
+                        b[i, j] = np.nanmean(c) if np.isfinite(c).any() else np.nan
+                rows.append(r | {"height": out[0], "width": out[1], "values": [None if v != v else v for v in b.ravel().tolist()]})
+            yield pd.DataFrame(rows, columns=list(pdf.columns))
+
+    return surface_rows.mapInPandas(cut, surface_rows.schema)
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """Metric histories and summaries in JSON: one row an entry."""
+    return spark.read.json(path, multiLine=True)
+
+
+def surface_pixels(surface_rows: DataFrame) -> DataFrame:
+    """Surface rows as (model, folder, stem, y, x, value); missing values have no row."""
+    flat = surface_rows.select("model", "folder", "stem", "width", F.posexplode("values").alias("i", "value")).where("value IS NOT NULL")
+    return flat.select("model", "folder", "stem", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), "value")
