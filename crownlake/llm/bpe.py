@@ -8,6 +8,8 @@ import re
 import numpy as np
 import regex
 
+from crownlake.llm.common import claim, keeps
+
 #: Fixed value: how byte-level tokenizers of this family part a text before the merges.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
@@ -55,7 +57,7 @@ class WordEncoder:
     same parts there. A text with a special token's string is encoded as a whole.
     """
 
-    def __init__(self, path: str, parts: int = 250_000):
+    def __init__(self, path: str, parts: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -94,10 +96,12 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+keeps("bpe", _encoders.clear)
 
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for a path and a Python worker, kept from task to task."""
+    claim("bpe")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crownlake.llm.common import steps
+from crownlake.llm.common import claim, keeps, steps
 
 WINDOW = 13
 #: Bytes of item text that one automaton holds; more items make more automata, each broadcast on its own.
@@ -68,6 +68,7 @@ def spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 #: The automaton that this Python worker used last, by the key of its broadcast.
 _built: dict[str, object] = {}
+keeps("decontam", _built.clear)
 
 
 def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -89,6 +90,7 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_bytes
         sent = spark.sparkContext.broadcast([(r.i, r.t) for r in rows])
 
         def scanned(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            claim("decontam")
             if key not in _built:
                 _built.clear()
                 _built[key] = automaton(sent.value, window)

@@ -54,8 +54,8 @@ def fill(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start in the item, length), each at most `capacity` long.
 
     The number of windows starts at the whole windows that the items fill and rises while their
-    capacity is exceeded. What differencing leaves above the capacity of one window is cut off and
-    moves to one with room, so that all windows but one are full.
+    capacity is exceeded. What differencing leaves above the capacity of one window is cut off, and
+    fills the room in others together with the emptiest window, so that all windows but one are full.
     """
     total = sum(sizes)
     if not total:
@@ -76,7 +76,10 @@ def fill(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
             room -= n
         windows.append(window)
     used = [sum(x[2] for x in w) for w in windows]
-    for at in sorted(range(k), key=lambda j: (-used[j], j)):
+    emptiest = min(range(k), key=lambda j: (used[j], -j))
+    spare += windows[emptiest]
+    windows[emptiest], used[emptiest] = [], 0
+    for at in sorted(range(k), key=lambda j: (j == emptiest, -used[j], j)):
         while spare and used[at] < capacity:
             i, start, n = spare.pop()
             m = min(n, capacity - used[at])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crownlake.llm.bktree import Forest
-from crownlake.llm.common import arrow, steps, stored
+from crownlake.llm.common import arrow, claim, steps, stored
 from crownlake.llm.components import smallest_reachable
 
 WORDS, RADIUS, SEED, BLOCKS = 4, 4, 42, 6
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, print) for each row; print is the unsigned fingerprint in a signed long. Null and wordless texts: 0."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             for b in steps(batch, "text"):
                 prints = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
@@ -70,6 +71,7 @@ def bucket_keys(print_: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> C
 
 def _trees(radius: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         held: list[np.ndarray] = []  # rows of choice, bits, print in key order
         n = 0
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crownlake.llm.common import arrow, steps, stored, utf8
+from crownlake.llm.common import arrow, claim, keeps, steps, stored, utf8
 from crownlake.llm.fmindex import FMIndex
 
 WINDOW, GRAM = 35, 8
@@ -33,6 +33,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
+keeps("substring", _powers.clear)
+#: Text bytes that one step of hashing works on.
+STEP = 1 << 20
 _PASSAGE = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 PASSAGE_DDL = "key long, row long, start int, words binary"
 MARK_DDL = "row long, start int, mask long"
@@ -152,6 +155,7 @@ def _shards(window: int, shard_words: int):
         return None
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
@@ -187,8 +191,9 @@ def repeated_windows(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM
     span = window - gram + 1
 
     def step_minimisers(batches: Iterator[pa.RecordBatch]):
+        claim("substring")
         for batch in batches:
-            for b in steps(batch, "text"):
+            for b in steps(batch, "text", STEP):
                 h, woff = word_hashes(*utf8(b.column(b.schema.get_field_index("text"))))
                 yield b.column(b.schema.get_field_index("row")).to_numpy(), woff, Minimisers(h, woff, window, gram)
 
