@@ -11,6 +11,27 @@ from crownlake.llm import decontam, extract, langid, media, packing, records, si
 from crownlake.llm.common import table
 
 
+#: Words, windows of 35 that stand more than once, and what is left, in DuckDB's SQL.
+_OP5 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS i)),
+r AS (SELECT k FROM v GROUP BY k HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, i + o AS p FROM v JOIN r USING (k), (SELECT unnest(range(35)) AS o)),
+u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+k AS (SELECT u.doc_id, count(h.p) AS n_removed, string_agg(w, ' ' ORDER BY u.p) FILTER (h.p IS NULL) AS kept FROM u LEFT JOIN h ON h.doc_id = u.doc_id AND h.p = u.p GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+_W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Windows of up to 13 words of the items among the documents' words.
+_OP6 = f"""WITH d AS (SELECT doc_id, {_W} AS ws FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_W} AS ws FROM benchmark),
+w AS (SELECT DISTINCT item, least(13, len(ws)) AS n, array_to_string(ws[i:i + 12], ' ') AS k FROM b, LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS i) WHERE len(ws) > 0),
+s AS (SELECT DISTINCT n FROM w),
+o AS (SELECT doc_id, s.n, i, array_to_string(ws[i:i + s.n - 1], ' ') AS k FROM d, s, LATERAL (SELECT unnest(range(1, len(ws) - s.n + 2)) AS i)),
+m AS (SELECT doc_id, o.n, i, item FROM o JOIN w ON w.n = o.n AND w.k = o.k),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, i + unnest(range(n)) AS p FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
 def op1_url_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrank.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
@@ -66,4 +87,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need hashes, tokenizers, trained models or a transitive closure."""
+    return {"op5_substring_dedup": _OP5, "op6_decontamination": _OP6}
