@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crownlake.operators.tables import hash_order
+
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "id") -> DataFrame:
     """Row number from 1 in each group."""
@@ -105,7 +107,7 @@ def interleaved(df: DataFrame, group: str, item: str, groups: int, block: int, s
 
     Column `place` orders the rows; neighbours come from different groups while several have items left.
     """
-    ranked = df.select(group).distinct().withColumn("__g", F.row_number().over(W.orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)) - 1)
-    own = df.join(ranked, group).withColumn("__i", F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.col(item), F.lit(seed)), item)) - 1)
+    ranked = df.select(group).distinct().withColumn("__g", F.row_number().over(W.orderBy(hash_order(group, seed), group)) - 1)
+    own = df.join(ranked, group).withColumn("__i", F.row_number().over(W.partitionBy(group).orderBy(hash_order(item, seed), item)) - 1)
     order = [F.floor(F.col("__g") / groups), F.floor(F.col("__i") / block), F.col("__i") % block, F.col("__g")]
     return own.withColumn("place", F.row_number().over(W.orderBy(*order)) - 1).drop("__g", "__i")

@@ -181,15 +181,20 @@ def class_list(categories: DataFrame, exclude: Sequence[int] = (2, 3, 10)) -> Da
     return left.withColumn("index", F.row_number().over(W.orderBy("id")) - 1)
 
 
+def hash_order(column: str, seed: int = 0) -> Column:
+    """A sort key that looks random, is the same in every engine and at any partitioning."""
+    return F.md5(F.concat_ws(":", F.col(column).cast("string"), F.lit(str(seed))))
+
+
 def hashed_sample(df: DataFrame, by: Sequence[str], key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows of each group, chosen by a hash of their key: the same at any partitioning."""
-    w = W.partitionBy(*by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = W.partitionBy(*by).orderBy(hash_order(key, seed), key)
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
 
 
 def group_split(df: DataFrame, group: str, share: float = 0.25, seed: int = 0) -> DataFrame:
     """Whole groups held out by hash order, at least one: column `held_out`."""
-    groups = df.select(group).distinct().withColumn("__n", F.row_number().over(W.orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)))
+    groups = df.select(group).distinct().withColumn("__n", F.row_number().over(W.orderBy(hash_order(group, seed), group)))
     groups = groups.withColumn("held_out", F.col("__n") <= F.greatest(F.lit(1), F.floor(F.count("*").over(W.partitionBy()) * share)))
     return df.join(groups.select(group, "held_out"), group)
 
@@ -236,5 +241,5 @@ def binned_share(df: DataFrame, by: Sequence[str], condition: Column, digits: in
 
 def equal_quota(frames: Sequence[DataFrame], rows: int, key: str, seed: int = 0) -> DataFrame:
     """The same number of rows of every source, chosen by hash order."""
-    own = [f.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows) for f in frames]
+    own = [f.orderBy(hash_order(key, seed), key).limit(rows) for f in frames]
     return union_all(own)

@@ -449,12 +449,13 @@ def class_list(spark, d):
     return tables.class_list(load(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
 
 
-@query()
+@query("""SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey || ':0'), c_custkey) AS rn FROM customer) WHERE rn <= 6""")
 def hashed_sample(spark, d):
     return tables.hashed_sample(load(spark, d, "customer"), ["c_mktsegment"], "c_custkey", 6).select("c_mktsegment", "c_custkey")
 
 
-@query()
+@query("""WITH g AS (SELECT s_nationkey, row_number() OVER (ORDER BY md5(s_nationkey || ':0'), s_nationkey) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT s_nationkey FROM supplier))
+SELECT s_suppkey, s_nationkey, rn <= greatest(1, floor(n * 0.25)) AS held_out FROM supplier JOIN g USING (s_nationkey)""")
 def group_split(spark, d):
     return tables.group_split(load(spark, d, "supplier"), "s_nationkey").select("s_suppkey", "s_nationkey", "held_out")
 
@@ -481,7 +482,9 @@ def early_best(spark, d):
     return t.select("user_id", F.col("event_id").alias("epoch"), "value", "epochs")
 
 
-@query()
+@query("""WITH g AS (SELECT s_nationkey, row_number() OVER (ORDER BY md5(s_nationkey || ':0'), s_nationkey) - 1 AS g FROM (SELECT DISTINCT s_nationkey FROM supplier)),
+i AS (SELECT s_nationkey, s_suppkey, g, row_number() OVER (PARTITION BY s_nationkey ORDER BY md5(s_suppkey || ':0'), s_suppkey) - 1 AS i FROM supplier JOIN g USING (s_nationkey))
+SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (ORDER BY g // 3, i // 2, i % 2, g) - 1 AS INTEGER) AS place FROM i""")
 def interleaved_plan(spark, d):
     return rank.interleaved(load(spark, d, "supplier"), "s_nationkey", "s_suppkey", 3, 2).select("s_nationkey", "s_suppkey", "place")
 

@@ -170,7 +170,14 @@ def nearest_resize(spark, d):
 # greedy operators: order decides, no SQL form ------------------------------------------------------
 
 
-@query()
+_IOU = "greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
+_SHARE = f"(({_IOU}) / (({{a}}.x1 - {{a}}.x0) * ({{a}}.y1 - {{a}}.y0) + ({{b}}.x1 - {{b}}.x0) * ({{b}}.y1 - {{b}}.y0) - ({_IOU})))"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY frame) AS n FROM (SELECT {_BOX}, p_brand AS frame, p_retailprice AS score FROM part)),
+k AS (SELECT frame, 1::BIGINT AS rn, [{{'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'score': score}}] AS kept FROM r WHERE rn = 1 UNION ALL
+SELECT r.frame, r.rn, CASE WHEN len(list_filter(kept, lambda q: {_SHARE.format(a='q', b='r')} >= 0.1)) = 0 THEN list_append(kept, {{'id': r.id, 'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1, 'score': r.score}}) ELSE kept END
+FROM k JOIN r ON r.frame = k.frame AND r.rn = k.rn + 1) SELECT frame, q.id AS id, q.score AS score FROM (SELECT k.frame, unnest(kept) AS q FROM k JOIN (SELECT DISTINCT frame, n FROM r) m ON m.frame = k.frame AND m.n = k.rn)""")
 def nms_greedy(spark, d):
     return instances.suppressed(boxes(spark, d).select("frame", "id", "x0", "y0", "x1", "y1", "score"), ["frame"], 0.1)
 
@@ -180,34 +187,52 @@ def _frame_pairs(spark, d):
     return b, instances.iou_pairs(b.where("id % 2 = 0"), b.where("id % 2 = 1"), ["frame"], 64)
 
 
-@query()
+_FRAME = "b AS (SELECT frame, id, x0 % 200 AS x0, y0 % 200 AS y0, x0 % 200 + x1 - x0 AS x1, y0 % 200 + y1 - y0 AS y1, score FROM (SELECT " + _BOX + ", p_brand AS frame, p_retailprice AS score FROM part))"
+_PAIRS = f"{_FRAME}, pairs AS (SELECT p.frame, p.id AS p, t.id AS t, {_SHARE.format(a='p', b='t')} AS iou FROM b p JOIN b t ON p.frame = t.frame AND p.id % 2 = 0 AND t.id % 2 = 1 WHERE {_IOU.format(a='p', b='t')} > 0)"
+_MATCH = f"""WITH RECURSIVE {_PAIRS}, c AS (SELECT frame, p, list({{'iou': iou, 't': t}} ORDER BY iou, t) AS c FROM pairs WHERE iou >= 0.1 GROUP BY 1, 2),
+r AS (SELECT b.frame, b.id AS p, b.score, coalesce(c.c, []) AS c, row_number() OVER (PARTITION BY b.frame ORDER BY b.score DESC, b.id) AS rn FROM b LEFT JOIN c ON c.frame = b.frame AND c.p = b.id WHERE b.id % 2 = 0),
+m AS (SELECT frame, p, score, rn, c[-1] AS best, list_filter([c[-1].t], lambda x: x IS NOT NULL) AS taken FROM r WHERE rn = 1 UNION ALL
+SELECT r.frame, r.p, r.score, r.rn, list_filter(r.c, lambda q: NOT list_contains(m.taken, q.t))[-1], list_concat(m.taken, list_filter([list_filter(r.c, lambda q: NOT list_contains(m.taken, q.t))[-1].t], lambda x: x IS NOT NULL))
+FROM m JOIN r ON r.frame = m.frame AND r.rn = m.rn + 1) """
+
+
+@query(_MATCH + "SELECT frame, p, score, coalesce(best.t, -1) AS t, round(best.iou, 6) AS iou FROM m")
 def match_greedy(spark, d):
     b, pairs = _frame_pairs(spark, d)
-    return instances.matched_by_score(pairs, b.where("id % 2 = 0").selectExpr("frame", "id AS p", "score"), ["frame"], 0.1).withColumn("iou", F.round("iou", 6))
+    return instances.matched_by_score(pairs, b.where("id % 2 = 0").selectExpr("frame", "id AS p", "score"), ["frame"], 0.1).withColumn("iou", F.round("iou", 6)).fillna(-1, ["t"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY iou DESC, p, t) AS rn FROM pairs WHERE iou >= 0.1),
+m AS (SELECT frame, rn, p, t, iou, true AS good, [p] AS ps, [t] AS ts FROM r WHERE rn = 1 UNION ALL
+SELECT r.frame, r.rn, r.p, r.t, r.iou, NOT list_contains(ps, r.p) AND NOT list_contains(ts, r.t), CASE WHEN NOT list_contains(ps, r.p) AND NOT list_contains(ts, r.t) THEN list_append(ps, r.p) ELSE ps END,
+CASE WHEN NOT list_contains(ps, r.p) AND NOT list_contains(ts, r.t) THEN list_append(ts, r.t) ELSE ts END FROM m JOIN r ON r.frame = m.frame AND r.rn = m.rn + 1) SELECT frame, p, t, round(iou, 6) AS iou FROM m WHERE good""")
 def match_by_iou(spark, d):
     return instances.matched_by_iou(_frame_pairs(spark, d)[1], ["frame"], 0.1).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query(_MATCH + """SELECT substring(e.frame, 1, 7) AS area, sum(n_pred)::BIGINT AS pred, sum(n_true)::BIGINT AS gt, sum(hits)::BIGINT AS hits, round(sum(s) / sum(hits), 6) AS mean_iou, round(sum(hits) / greatest(1, sum(n_pred)), 6) AS precision,
+round(sum(hits) / greatest(1, sum(n_true)), 6) AS recall FROM (SELECT frame, count(*) AS n_pred, count(best.t) AS hits, coalesce(sum(best.iou), 0) AS s FROM m GROUP BY 1) e JOIN (SELECT frame, count(*) AS n_true FROM b WHERE id % 2 = 1 GROUP BY 1) t ON t.frame = e.frame GROUP BY 1""")
 def tile_evaluation(spark, d):
     from crownlake.operators import metrics
 
     b, pairs = _frame_pairs(spark, d)
     found = instances.matched_by_score(pairs, b.where("id % 2 = 0").selectExpr("frame", "id AS p", "score"), ["frame"], 0.1)
     truths = b.where("id % 2 = 1").groupBy("frame").agg(F.count("*").cast("int").alias("n_true"))
-    return metrics.micro(instances.evaluated(found, truths, ["frame"]).withColumn("area", F.substring("frame", 1, 7)), ["area"], iou_sum="iou_sum")
+    out = metrics.micro(instances.evaluated(found, truths, ["frame"]).withColumn("area", F.substring("frame", 1, 7)), ["area"], iou_sum="iou_sum")
+    return out.select("area", "pred", "gt", "hits", *[F.round(c, 6).alias(c) for c in ("mean_iou", "precision", "recall")])
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY frame) AS n FROM (SELECT frame, id, score, list_transform(range(49), lambda k: (y0 % 60 + k // 7) * 1000 + x0 % 60 + k % 7) AS px
+FROM (SELECT """ + _BOX + """, p_brand AS frame, p_retailprice AS score FROM part) WHERE id < 400)),
+k AS (SELECT frame, rn, id, true AS good, px AS claimed FROM r WHERE rn = 1 UNION ALL SELECT r.frame, r.rn, r.id, len(list_filter(r.px, lambda q: list_contains(claimed, q))) / 49 <= 0.3,
+CASE WHEN len(list_filter(r.px, lambda q: list_contains(claimed, q))) / 49 <= 0.3 THEN list_concat(claimed, r.px) ELSE claimed END FROM k JOIN r ON r.frame = k.frame AND r.rn = k.rn + 1) SELECT frame, id, 49::BIGINT AS area FROM k WHERE good""")
 def occupied_union(spark, d):
     b = boxes(spark, d).where("id < 400").selectExpr("frame", "id", "score", "explode(sequence(y0 % 60, y0 % 60 + 6)) AS y", "x0 % 60 AS x0")
     return instances.unclaimed(b.selectExpr("frame", "id", "score", "y", "explode(sequence(x0, x0 + 6)) AS x"), ["frame"]).groupBy("frame", "id").agg(F.count("*").alias("area"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT frame, p AS a, t AS b FROM pairs UNION SELECT frame, t, p FROM pairs), c AS (SELECT frame, a, b FROM e UNION SELECT c.frame, c.a, e.b FROM c JOIN e ON e.frame = c.frame AND e.a = c.b)
+SELECT frame, a AS node, least(a, min(b)) AS root FROM c GROUP BY frame, a""")
 def components(spark, d):
     pairs = _frame_pairs(spark, d)[1]
     return instances.components(pairs.select("frame", F.col("p").alias("a"), F.col("t").alias("b")), ["frame"])
