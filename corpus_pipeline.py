@@ -22,14 +22,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each class of SimHash neighbours stays, of equal rows one.
+    """Of documents that share 0.8 or more of their five-word shingles the one with the smallest doc_id
+    stays, of rows with one doc_id one. Candidates are classes of SimHash neighbours at 8 bits.
 
-    Shingles of five words; links at 8 differing bits, which is a similarity of 0.875. A document
-    without a doc_id stays: no other row can stand for it.
+    A document without a doc_id stays: no other row can stand for it.
     """
     prepare(spark)
-    found = simhash.near_duplicates(docs, words=5, radius=8, blocks=10)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = simhash.distinct_documents(docs)
     one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     return one.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

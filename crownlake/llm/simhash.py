@@ -160,3 +160,51 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("print", "root").join(roots, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", "print", "component_id")
+
+
+_GRAMS = pa.schema([("doc_id", pa.int64()), ("component_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+
+def gram_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted, different 64-bit hashes of a text's word shingles (A-Z in lower case); none for a wordless text."""
+    own = text.encode().lower().split() if text else []
+    joined = [b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))] if own else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in joined], np.uint64)).view(np.int64)
+
+
+def distinct_documents(docs: DataFrame, *, words: int = 5, radius: int = 8, blocks: int = 10, similarity: float = 0.8, tree: int = TREE) -> DataFrame:
+    """doc_id of the documents that no earlier kept one resembles.
+
+    Candidates are the classes of near_duplicates(). In each, by rising doc_id, a document goes if the
+    Jaccard similarity of its shingles with those of one that stays is `similarity` or more; equal sets
+    (wordless texts have equal ones) are settled by a digest first. Each round compares all open
+    documents of a class with the first of them and ends when none is open. Null doc_ids are left out.
+    """
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = stored(near_duplicates(own, words=words, radius=radius, blocks=blocks, tree=tree).select("doc_id", "component_id"), "classes")
+    crowded = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    alone = found.join(crowded, "component_id", "left_anti").select("doc_id")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
+        for batch in batches:
+            for b in steps(batch, "text"):
+                sets = [gram_set(t, words) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+                yield arrow(_GRAMS, b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("component_id")), pa.array(sets, pa.list_(pa.int64())))
+
+    members = own.join(found.join(crowded, "component_id", "left_semi").distinct(), "doc_id").select("doc_id", "component_id", "text")
+    members = stored(members.mapInArrow(hashed, "doc_id long, component_id long, grams array<long>"), "members")
+    digest = F.xxhash64("grams")
+    first = members.groupBy("component_id", digest.alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    rest = stored(members.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi"), "open")
+    leaders = []
+    while not rest.isEmpty():
+        lead = stored(rest.groupBy("component_id").agg(F.min("doc_id").alias("leader")), "leaders")
+        leaders.append(lead.select(F.col("leader").alias("doc_id")))
+        sets = rest.join(lead, [rest.doc_id == lead.leader, rest.component_id == lead.component_id], "left_semi").select("component_id", F.col("grams").alias("led"))
+        both = F.size(F.array_intersect("grams", "led"))
+        jaccard = F.try_divide(both, F.size("grams") + F.size("led") - both)
+        rest = stored(rest.join(sets, "component_id").where((jaccard < similarity) & jaccard.isNotNull()).select("doc_id", "component_id", "grams"), "open")
+    for lead in leaders:
+        alone = alone.unionByName(lead)
+    return alone
