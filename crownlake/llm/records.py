@@ -72,6 +72,7 @@ def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, e
     total, rows = keys.agg(F.sum("n"), F.count("*")).first()
     shards = int(min(MAX_SHARDS, max(1, -(-((total or 0) + 8 * rows) // shard_bytes))))
     cuts = np.array(keys.approxQuantile("k", [i / shards for i in range(1, shards)], max(1e-5, 0.1 / shards)) if shards > 1 and rows else [], np.float64)
+    cuts = np.clip(cuts, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -80,7 +81,7 @@ def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, e
             for b in steps(batch, "text"):
                 texts, doc_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
                 ids = enc.encode(texts)
-                key = np.array([LEAST if i is None else i for i in doc_ids], np.float64)
+                key = np.array([LEAST if i is None else i for i in doc_ids], np.int64)
                 lo, hi = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
                 spread = np.array([zlib.crc32(x) for x in ids], np.int64)
                 shard = lo + spread % (hi - lo + 1)

@@ -125,8 +125,8 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: i
         rows = rows.join(hot, ["choice", "bits"], "left_anti")
         half = (radius + 1) // 2
         masks = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)]
-        flips = spark.createDataFrame([([m - (1 << 64) if m >> 63 else m for m in masks],)], "flips array<long>")
-        met = many.join(F.broadcast(flips)).select("print", F.explode("flips").alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("mid"))
+        flips = F.lit([m - (1 << 64) if m >> 63 else m for m in masks]).cast("array<long>")
+        met = many.select("print", F.explode(flips).alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("mid"))
         met = met.groupBy("mid").agg(F.min("print").alias("b"), F.collect_list("print").alias("all")).where(F.size("all") > 1)
         edges.append(met.select(F.explode("all").alias("a"), "b").where("a <> b").distinct())
     elif n_hot:
