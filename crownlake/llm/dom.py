@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,6 +11,7 @@ import numpy as np
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -81,11 +83,13 @@ def read(html: str | None, mark: str = "") -> Page:
     html = html or ""
     stack = [0]
     hidden = 0  # open elements that are not shown
+    open_: Counter[str] = Counter()  # open elements by tag: looking for one that is not there would cost the whole stack
     texts = page.texts
 
     def pop() -> None:
         nonlocal hidden
         node = stack.pop()
+        open_[page.tag[node]] -= 1
         page.end[node] = len(page.tag)
         if page.tag[node] in HIDDEN or page.depth[node] < 0:
             hidden -= 1
@@ -93,9 +97,11 @@ def read(html: str | None, mark: str = "") -> Page:
             texts.append((-1, ""))
 
     at, size = 0, len(html)
+    last = html.rfind(">") + 1  # no tag ends beyond, and one that begins there is cut off
+    cut = _CUT_TAG.search(html, last)
     while at < size:
-        m = TOKEN.search(html, at)
-        to = m.start() if m else size
+        m = TOKEN.search(html, at, last)
+        to = m.start() if m else max(at, cut.start()) if cut else size
         if to > at and not hidden:
             texts.append((stack[-1], html[at:to]))
         if not m:
@@ -103,10 +109,12 @@ def read(html: str | None, mark: str = "") -> Page:
         at = m.end()
         name = m[2] or m[5]
         if not name:
+            if m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
+                at = size
             continue
         name, close, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[name] > 0 else ():
                 if page.tag[stack[k]] == name:
                     while len(stack) > k:
                         pop()
@@ -122,7 +130,7 @@ def read(html: str | None, mark: str = "") -> Page:
             page.mask[0] |= group_mask(" ".join(v for a, *q in _ATTRIBUTE.findall(attributes) for v in q)) & 1 if attributes else 0
             continue
         if name in BLOCK:
-            if name in ENDS_P and "p" in (page.tag[i] for i in stack):
+            if name in ENDS_P and open_["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if page.tag[stack[k]] == "p":
                         while len(stack) > k:
@@ -135,7 +143,7 @@ def read(html: str | None, mark: str = "") -> Page:
             texts.append((stack[-1], " "))
         if name in CLOSES:
             own, stops = CLOSES[name]
-            while (k := next((k for k in range(len(stack) - 1, 0, -1) if page.tag[stack[k]] in own | stops), 0)) and page.tag[stack[k]] in own:
+            while any(open_[t] > 0 for t in own) and (k := next((k for k in range(len(stack) - 1, 0, -1) if page.tag[stack[k]] in own | stops), 0)) and page.tag[stack[k]] in own:
                 while len(stack) > k:
                     pop()
         if name in VOID and name != "input":
@@ -160,6 +168,7 @@ def read(html: str | None, mark: str = "") -> Page:
         if name == "input":
             continue
         hidden += name in HIDDEN or page.depth[node] < 0
+        open_[name] += 1
         stack.append(node)
     while stack:
         node = stack[-1]

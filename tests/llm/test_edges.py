@@ -133,3 +133,16 @@ def test_urls(spark):
     assert (r[3].host, r[3].path, r[3].rule, r[3].verdict) == ("a.example.com", "/en/7", "example.com/en/7", "allow")
     assert (r[4].rule, r[4].verdict, r[5].verdict, r[6].host, r[6].path) == ("org/es/", "block", "block", "h", "")
     assert urlrank.judge(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "texts"),
+    [
+        ("<p>a<!-- b <i>c", ["a"]), ("x < y <p>1 < 2", ["x < y ", "1 < 2"]), ("<p>q<b", ["q"]), ("<a " * 20_000, []), ("<div>" * 20_000 + "</x>" * 20_000, []),
+        ("<li>a<li>b<ul><li>c</ul>d", ["a", "b", "c", "d"]), ("<p>a<p>b</p></p>c", ["a", "b", "c"]), ("<div hidden>a<p>b</div>c", ["c"]), ("<script>'</p>'<b>x</script>y<style>z", ["y"]),
+    ],
+)
+def test_html_reader(source, texts):
+    from crownlake.llm.dom import read
+
+    assert [t for n, t in read(source).texts if n >= 0] == texts
