@@ -73,12 +73,12 @@ def test_evaluation_chain(spark, tmp_path):
     t, p = np.zeros((8, 8), np.uint16), np.zeros((8, 8), np.uint16)
     p[1:4, 2:5], p[4:8, 4:7], p[0, 7] = 1, 2, 3
     (tmp_path / "maps").mkdir()
-    (tmp_path / "maps" / "hain_01_labels.png").write_bytes(codecs.png_encode(p))
+    (tmp_path / "maps" / "north_01_labels.png").write_bytes(codecs.png_encode(p))
     (tmp_path / "maps" / "other_02_labels.png").write_bytes(codecs.png_encode(t))
     flat = [[c for q in square(1, 1, 3) for c in q], [c for q in square(4, 4, 4) for c in q]]
-    (tmp_path / "truth.json").write_text(json.dumps({"hain_01": flat, "wald_09": flat}))
+    (tmp_path / "truth.json").write_text(json.dumps({"north_01": flat, "south_09": flat}))
     r = chains.evaluate_folder(spark, str(tmp_path / "maps"), str(tmp_path / "truth.json"), 8).collect()
-    assert [(x.area, x.pred, x.gt, x.hits) for x in r] == [("hain", 3, 2, 2)]
+    assert [(x.area, x.pred, x.gt, x.hits) for x in r] == [("north", 3, 2, 2)]
     assert (r[0].precision, r[0].recall, r[0].f1, r[0].mean_iou) == pytest.approx((2 / 3, 1, 0.8, 0.625))
 
 
