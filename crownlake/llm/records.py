@@ -90,7 +90,7 @@ def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, e
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = out.mapInArrow(framed, "shard int, doc_id long, frame binary").repartitionById(shards, "shard")
     out = out.sortWithinPartitions(F.asc_nulls_first("doc_id"), "frame")
-    out.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").text(path)
+    out.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", 0).text(path)
     return shards
 
 
