@@ -210,8 +210,9 @@ def match_by_iou(spark, d):
     return instances.matched_by_iou(_frame_pairs(spark, d)[1], ["frame"], 0.1).withColumn("iou", F.round("iou", 6))
 
 
-@query(_MATCH + """SELECT substring(e.frame, 1, 7) AS area, sum(n_pred)::BIGINT AS pred, sum(n_true)::BIGINT AS gt, sum(hits)::BIGINT AS hits, round(sum(s) / sum(hits), 6) AS mean_iou, round(sum(hits) / greatest(1, sum(n_pred)), 6) AS precision,
-round(sum(hits) / greatest(1, sum(n_true)), 6) AS recall FROM (SELECT frame, count(*) AS n_pred, count(best.t) AS hits, coalesce(sum(best.iou), 0) AS s FROM m GROUP BY 1) e JOIN (SELECT frame, count(*) AS n_true FROM b WHERE id % 2 = 1 GROUP BY 1) t ON t.frame = e.frame GROUP BY 1""")
+@query(_MATCH + """SELECT substring(frame, 1, 7) AS area, coalesce(sum(n_pred), 0)::BIGINT AS pred, coalesce(sum(n_true), 0)::BIGINT AS gt, coalesce(sum(hits), 0)::BIGINT AS hits, round(coalesce(sum(s) / nullif(sum(hits), 0), 0), 6) AS mean_iou,
+round(coalesce(sum(hits), 0) / greatest(1, coalesce(sum(n_pred), 0)), 6) AS precision, round(coalesce(sum(hits), 0) / greatest(1, coalesce(sum(n_true), 0)), 6) AS recall
+FROM (SELECT frame, count(*) AS n_pred, count(best.t) AS hits, coalesce(sum(best.iou), 0) AS s FROM m GROUP BY 1) e FULL JOIN (SELECT frame, count(*) AS n_true FROM b WHERE id % 2 = 1 GROUP BY 1) t USING (frame) GROUP BY 1""")
 def tile_evaluation(spark, d):
     from crownlake.operators import metrics
 
