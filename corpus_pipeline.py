@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crownlake.llm import decontam, langid, packing, simhash, substring
+from crownlake.llm import decontam, langid, minhash, packing, substring
 from crownlake.llm.common import prepare, stored, table
 
 
@@ -22,16 +22,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each class of SimHash neighbours stays, of equal rows one.
+    """By rising doc_id a row goes if its text shares 0.8 or more of its five-word shingles with one that stays.
 
-    Shingles of five words; links at 8 differing bits, which is a similarity of 0.875. A document
-    without a doc_id stays: no other row can stand for it.
+    Of rows with one doc_id one stays. A document without a doc_id stays: no other row can stand for it.
     """
     prepare(spark)
-    found = simhash.near_duplicates(docs, words=5, radius=8, blocks=10)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = minhash.survivors(docs)
+    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
