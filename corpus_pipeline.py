@@ -24,11 +24,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """By rising doc_id a row goes if its text shares 0.8 or more of its five-word shingles with one that stays.
 
-    Of rows with one doc_id one stays. A document without a doc_id stays: no other row can stand for it.
+    Of rows with one doc_id and equal texts one stays; rows that share a doc_id only are separate
+    documents. A document without a doc_id stays: no other row can stand for it.
     """
     prepare(spark)
+    keyed = docs.where("doc_id is not null").withColumn("text_hash", minhash.text_hash())
     kept = minhash.survivors(docs)
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    one = keyed.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -26,3 +26,9 @@ def test_near_duplicates_are_confirmed(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == _kept(rows)
+
+
+def test_rows_that_share_an_id_only_stay(spark, sf_dir):
+    rows = [(1, _page("a")), (2, _page("a")), (2, _page("b")), (2, _page("b")), (3, _page("c")), (3, _page("d"))]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted((r.doc_id, r.text[:2]) for r in got.collect()) == [(1, "a0"), (2, "b0"), (3, "c0"), (3, "d0")]
