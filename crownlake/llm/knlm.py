@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from crownlake.llm.common import claim, steps, stored, utf8
 
 STEP = 1 << 20
-#: Grams that a model holds at most: rarer ones go first, all of one count together.
-MOST_GRAMS = 4_000_000
 _symbols: list[np.ndarray] = []
 
 
@@ -103,16 +101,9 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInArrow(counted, "key long, class int, n long").groupBy("key", "class").agg(F.sum("n").alias("n"))
 
 
-def gathered(counts: DataFrame, most: int = MOST_GRAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, classes and counts on the driver, at most `most` rows: beyond, the lowest counts are left out."""
-    counts = stored(counts, "grams")
-    by_count = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("rows")).collect()
-    least, total = 0, sum(r.rows for r in by_count)
-    for r in sorted(by_count, key=lambda r: r.n):
-        if total <= most:
-            break
-        least, total = r.n, total - r.rows
-    t = counts.where(F.col("n") > least).toArrow()
+def gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, classes and counts of all rows on the driver, whose memory bounds a model."""
+    t = stored(counts, "grams").toArrow()
     return tuple(t.column(c).to_numpy() for c in ("key", "class", "n"))
 
 

@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
+
 import corpus_pipeline
 from crownlake.llm.simhash import gram_set
 
@@ -32,3 +34,11 @@ def test_rows_that_share_an_id_only_stay(spark, sf_dir):
     rows = [(1, _page("a")), (2, _page("a")), (2, _page("b")), (2, _page("b")), (3, _page("c")), (3, _page("d"))]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
     assert sorted((r.doc_id, r.text[:2]) for r in got.collect()) == [(1, "a0"), (2, "b0"), (3, "c0"), (3, "d0")]
+
+
+def test_models_keep_all_grams(spark):
+    from crownlake.llm.knlm import gathered
+
+    n = 4_000_010
+    key, cls, count = gathered(spark.range(n).selectExpr("id AS key", "0 AS class", "IF(id < 10, 2L, 1L) AS n"))
+    assert len(key) == n == len(set(key.tolist())) and count.sum() == n + 10
