@@ -15,8 +15,10 @@ from crownlake.llm.common import claim, steps, utf8
 from crownlake.llm.knlm import STEP, Model, count_grams, gathered, grams, sampled, symbols
 
 ORDER = 4
-#: Labelled texts that calibration looks at, about so many, chosen by a hash of their place.
+#: Labelled texts that the sharpness is fitted on, about so many, chosen by a hash of their place.
 CALIBRATION_ROWS = 4000
+#: Limits come from a histogram of all texts' cross-entropy with so many bins a nat.
+BINS = 1024
 #: Texts with fewer symbols are never rejected.
 REJECT_SYMBOLS = 40
 UNKNOWN = "und"
@@ -56,9 +58,10 @@ class Identifier:
 def fit(labelled: DataFrame, *, order: int = ORDER, rows: int = CALIBRATION_ROWS) -> Identifier:
     """Learn from labelled (text, lang): counts cover all rows with a text and a lang.
 
-    About `rows` of them calibrate: sharpness maximises the likelihood of their languages, and a
-    language's limit lies as far above the 99.9th percentile of its texts' cross-entropy as that
-    lies above the median, so that only texts unlike any of its own are rejected.
+    Sharpness maximises the likelihood of the languages of about `rows` of them. A language's limit
+    lies as far above the 99.9th percentile of the cross-entropy of all its texts (those of
+    REJECT_SYMBOLS and more) as that lies above the median, half a nat at least, so that only texts
+    unlike any of its own are rejected. A language without such a text rejects none.
     """
     spark = labelled.sparkSession
     known = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -79,6 +82,17 @@ def fit(labelled: DataFrame, *, order: int = ORDER, rows: int = CALIBRATION_ROWS
                 h, n = sent.value.measure(*utf8(b.column(b.schema.get_field_index("text"))))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("class")), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], names=["class", "h", "n"])
 
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("knlm")
+        for batch in batches:
+            for b in steps(batch, "text", STEP):
+                h, n = sent.value.measure(*utf8(b.column(b.schema.get_field_index("text"))))
+                y = b.column(b.schema.get_field_index("class")).to_numpy()
+                long = np.flatnonzero(n >= REJECT_SYMBOLS)
+                own = np.stack([y[long].astype(np.int64), np.floor(h[long, y[long]] * BINS).astype(np.int64)])
+                (c, k), many = np.unique(own, axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k), pa.array(many.astype(np.int64))], names=["class", "bin", "n"])
+
     sample = sampled(classed, rows, sum(r.n for r in per_language))
     seen = sample.mapInArrow(measured, "class int, h array<double>, n long").where("n > 0").collect()
     if seen:
@@ -89,11 +103,15 @@ def fit(labelled: DataFrame, *, order: int = ORDER, rows: int = CALIBRATION_ROWS
             return float(np.mean(s * gap[np.arange(len(y)), y] + np.log(np.exp(-s * gap).sum(axis=1))))
 
         out.sharpness = min((2.0**k for k in np.arange(-1, 8, 0.5)), key=loss)
-        for c in range(len(languages)):
-            own = h[(y == c) & (n >= REJECT_SYMBOLS), c]
-            if len(own):
-                high, mid = np.quantile(own, 0.999), np.median(own)
-                out.limits[c] = high + max(high - mid, 0.5)
+    bins = classed.mapInArrow(binned, "class int, bin long, n long").groupBy("class", "bin").agg(F.sum("n").alias("n")).collect()
+    for c in range(len(languages)):
+        own = sorted((r.bin, r.n) for r in bins if r["class"] == c)
+        if own:
+            edge, upto = np.array([b for b, _ in own]), np.cumsum([n for _, n in own])
+            last = upto[-1] - 1
+            high = (edge[np.searchsorted(upto, np.ceil(0.999 * last), "right")] + 1) / BINS
+            mid = edge[np.searchsorted(upto, last // 2, "right")] / BINS
+            out.limits[c] = high + max(high - mid, 0.5)
     return out
 
 

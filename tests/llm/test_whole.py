@@ -36,6 +36,22 @@ def test_rows_that_share_an_id_only_stay(spark, sf_dir):
     assert sorted((r.doc_id, r.text[:2]) for r in got.collect()) == [(1, "a0"), (2, "b0"), (3, "c0"), (3, "d0")]
 
 
+def test_limits_cover_all_labelled_rows(spark):
+    from crownlake.llm import langid
+
+    def text(k):
+        return " ".join("".join(chr(97 + (k * 7 + i * j + i * i) % 26) for i in range(3 + (k + j) % 5)) for j in range(12))
+
+    rows = [(text(k), "en") for k in range(300)] + [("ein ganz anderer satz der nur ein einziges mal in der tabelle vorkommt", "de")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    all_rows, sample = langid.fit(docs, rows=10_000), langid.fit(docs, rows=3)
+    assert (all_rows.limits < 100).all() and (sample.limits == all_rows.limits).all()
+    h, n = all_rows.measure(*langid.utf8(__import__("pyarrow").array([t for t, lang in rows if lang == "en"])))
+    own = h[n >= langid.REJECT_SYMBOLS, 1]
+    high, mid = np.quantile(own, 0.999, method="higher"), np.median(own)
+    assert abs(all_rows.limits[1] - high - max(high - mid, 0.5)) < 0.02
+
+
 def test_models_keep_all_grams(spark):
     from crownlake.llm.knlm import gathered
 
