@@ -2,16 +2,19 @@
 
 Equal windows have the same minimiser (the smallest hash of their word 8-grams), so a shard that
 holds all passages of a minimiser decides their windows alone. Passages whose minimiser stands at
-one place in the corpus are never moved.
+one place in the corpus are never moved. Passages travel as words, not as hashes, and a shard
+compares the words themselves: hashes only choose where equal windows meet.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,10 @@ from crownlake.llm.fmindex import FMIndex
 WINDOW, GRAM = 35, 8
 #: Words of one FM-index shard, beyond which the next minimiser opens another.
 SHARD_WORDS = 600_000
-#: A minimiser at more places than this, and than one ten-thousandth of all places, is hot: at most 10,000 are.
+#: A minimiser at more places than this is hot, whatever the size of the corpus: its windows are counted one by one.
 HOT = 2048
+#: Hot minimisers up to which they are broadcast; beyond, passages are joined with the counts.
+HOT_KEYS = 1_000_000
 #: Bytes of the bitmap of repeated minimisers up to which it is broadcast; beyond, passages are joined with them.
 BITMAP_BYTES = 64 << 20
 #: Repeated windows of hot minimisers up to which they are broadcast; beyond, places are joined with them.
@@ -36,10 +41,13 @@ _powers: list[np.ndarray] = []
 keeps("substring", _powers.clear)
 #: Text bytes that one step of hashing works on.
 STEP = 1 << 20
-_PASSAGE = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
-PASSAGE_DDL = "key long, row long, start int, words binary"
-MARK_DDL = "row long, start int, mask long"
-_FOUND = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("mask", pa.int64())])
+_PASSAGE = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("row2", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+PASSAGE_DDL = "key long, row long, row2 long, start int, words binary"
+_WINDOWS = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("n", pa.int64())])
+_MARK = pa.schema([("row", pa.int64()), ("row2", pa.int64()), ("start", pa.int32()), ("mask", pa.int64())])
+MARK_DDL = "row long, row2 long, start int, mask long"
+FOUND_DDL = "key long, row long, row2 long, start int, mask long, words binary"
+_FOUND = pa.schema([("key", pa.int64()), *_MARK, ("words", pa.binary())])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -55,20 +63,40 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in texts laid end to end, and n + 1 offsets of the texts into them."""
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of all words in texts laid end to end."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     word = ~_SPACE[raw]
     before, after = np.concatenate(([False], word[:-1])), np.concatenate((word[1:], [False]))
     before[off[:-1][off[:-1] < n]] = False
     after[off[1:][off[1:] > 0] - 1] = False
-    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after)
+    return np.flatnonzero(word & ~before[:n]), np.flatnonzero(word & ~after[:n])  # no bytes: no words
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, given their first and last bytes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n = len(raw)
     up, down = _power_tables(n)
     run = np.cumsum(_BYTE[raw] * up[:n])
     h = (run[end] - np.where(start > 0, run[start - 1], np.uint64(0))) * down[start]
-    return _mixed(h + (end - start).astype(np.uint64)), np.searchsorted(start, off)
+    return _mixed(h + (end - start).astype(np.uint64))
+
+
+def laid(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words joined by one space, and where each begins; the last number is the end of the whole."""
+    size = end - start + 1
+    at = np.concatenate(([0], np.cumsum(size + 1)))
+    out = np.full(at[-1], 0x20, np.uint8)
+    out[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = raw[~_SPACE[raw]]
+    return out.tobytes(), at
+
+
+def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, length: np.ndarray) -> list[bytes]:
+    """The `length` words from each word `first` on, joined by one space."""
+    data, at = laid(raw, start, end)
+    return [data[a:b] for a, b in zip(at[first].tolist(), (at[first + length] - 1).tolist(), strict=True)]
 
 
 def _sliding(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -125,40 +153,45 @@ class Minimisers:
         return start, np.minimum(np.repeat(size, cuts) - nth * span, span)
 
 
-def _passages(key: np.ndarray, row: np.ndarray, start: np.ndarray, words: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
-    data = words[at].tobytes()
-    off = np.concatenate(([0], np.cumsum(length * 4))).astype(np.int32)
-    binary = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data)])
-    return arrow(_PASSAGE, key.view(np.int64), row, start.astype(np.int32), binary)
+def _shards(window: int, shard_words: int, tell: bool):
+    """Builds FM-index shards over a partition that is sorted by key and gives the repeated windows of each passage.
 
-
-def _shards(window: int, shard_words: int):
-    """Builds FM-index shards over a partition that is sorted by key and gives the repeated windows of each passage."""
+    With `tell`, passages of a key of which not all have repeated windows come with their words.
+    """
 
     def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(held).combine_chunks()
-        seen: dict[bytes, int] = {}
-        which = np.array([seen.setdefault(w, len(seen)) for w in t.column("words").to_pylist()], np.int64)
-        weight = t.column("weight").to_numpy()
-        weights = np.bincount(which, weights=weight, minlength=len(seen)).astype(np.int64)
-        lengths = np.array([len(w) // 4 for w in seen], np.int64)
-        index = FMIndex(np.frombuffer(b"".join(seen), "<u4"), lengths, weights, window)
+        kinds = t.column("words").combine_chunks().dictionary_encode()
+        which = kinds.indices.to_numpy().astype(np.int64)
+        many = len(kinds.dictionary)
+        weights = np.bincount(which, weights=t.column("weight").to_numpy(), minlength=many).astype(np.int64)
+        own = pc.split_pattern(kinds.dictionary, " ")
+        lengths = pc.list_value_length(own).to_numpy().astype(np.int64)
+        index = FMIndex(own.flatten().dictionary_encode().indices.to_numpy(), lengths, weights, window)
         seq, count = index.window_counts()
         nth = np.arange(len(seq)) - np.searchsorted(seq, seq)
-        mask = np.zeros(len(seen), np.int64)
+        mask = np.zeros(many, np.int64)
         np.bitwise_or.at(mask, seq, np.where(count > 1, np.int64(1) << nth, 0))
         mask = mask[which]
         keep = np.flatnonzero(mask)
-        if len(keep):
-            return arrow(_FOUND, *(t.column(c).combine_chunks().take(pa.array(keep)) for c in ("key", "row", "start")), mask[keep])
-        return None
+        if not len(keep):
+            return None
+        told = pa.nulls(len(keep), pa.binary())
+        if tell:
+            _, key = np.unique(t.column("key").to_numpy(), return_inverse=True)
+            unsure = (np.bincount(key, mask == 0) > 0)[key[keep]]
+            if unsure.any():
+                words = t.column("words").combine_chunks().take(pa.array(keep)).cast(pa.binary())
+                told = pc.if_else(pa.array(unsure), words, pa.scalar(None, pa.binary()))
+        return arrow(_FOUND, *(t.column(c).combine_chunks().take(pa.array(keep)) for c in ("key", "row", "row2", "start")), mask[keep], told)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring")
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
+            at = batch.schema.get_field_index("words")
+            batch = batch.set_column(at, "words", batch.column(at).cast(pa.large_binary()))
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
                 key = b.column(b.schema.get_field_index("key")).to_numpy()
@@ -174,45 +207,54 @@ def _shards(window: int, shard_words: int):
                     else:
                         continue
                 held.append(b)
-                n += utf8(b.column(b.schema.get_field_index("words")).cast(pa.large_binary()).view(pa.large_string()))[1][-1] // 4
+                n += b.num_rows + pc.sum(pc.count_substring(b.column(b.schema.get_field_index("words")), " ")).as_py()
         if held and (out := shard(held)):
             yield out
 
     return searched
 
 
-def repeated_windows(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT, bitmap_bytes: int = BITMAP_BYTES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """texts (row, text) -> (row, start, mask): bit i of mask says that the window at word start + i stands elsewhere too.
+def repeated_windows(
+    texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT, hot_keys: int = HOT_KEYS,
+    bitmap_bytes: int = BITMAP_BYTES, broadcast_keys: int = BROADCAST_KEYS, hash_bits: int = 64,
+) -> DataFrame:
+    """texts (row, row2, text) -> (row, row2, start, mask): bit i says that the window at word start + i stands elsewhere too.
 
-    Words are told apart by 32 hash bits, windows thus by window * 32. Hot minimisers' windows are
-    counted one by one before they are dealt out, so that no shard holds all passages of one.
+    row and row2 name a text together; texts that share both must be equal. Shards compare words. The
+    windows of a hot minimiser are counted one by one before they are dealt out, so that no shard
+    holds all passages of one. `hash_bits` below 64 weakens the hashes of words, which changes no result.
     """
     spark = texts.sparkSession
     span = window - gram + 1
+    part_of_hash = np.uint64((1 << hash_bits) - 1)
+    own = ("row", "row2", "start")
 
     def step_minimisers(batches: Iterator[pa.RecordBatch]):
         claim("substring")
         for batch in batches:
             for b in steps(batch, "text", STEP):
-                h, woff = word_hashes(*utf8(b.column(b.schema.get_field_index("text"))))
-                yield b.column(b.schema.get_field_index("row")).to_numpy(), woff, Minimisers(h, woff, window, gram)
+                raw, off = utf8(b.column(b.schema.get_field_index("text")))
+                start, end = word_spans(raw, off)
+                h, woff = word_hashes(raw, start, end) & part_of_hash, np.searchsorted(start, off)
+                rows = [b.column(b.schema.get_field_index(c)).to_numpy() for c in own]
+                yield rows, woff, Minimisers(h, woff, window, gram), (raw, start, end)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, m in step_minimisers(batches):
+        for _, _, m, _ in step_minimisers(batches):
             keys, n = np.unique(m.places(span), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    counts = texts.select("text", F.lit(0).cast("long").alias("row")).mapInArrow(counted, "key long, n long")
+    none = F.lit(0).cast("long")
+    texts = texts.select("row", "row2", F.lit(0).alias("start"), "text")
+    counts = texts.select("text", none.alias("row"), none.alias("row2"), F.lit(0).alias("start")).mapInArrow(counted, "key long, n long")
     counts = stored(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "minimisers")
-    n_keys, n_places = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    hot_keys = np.sort(np.array([r.key for r in counts.where(F.col("n") > max(hot, n_places // 10_000)).select("key").collect()], np.int64)).view(np.uint64)
-    hot_keys = np.sort(hot_keys)
-
+    hottest = counts.where(F.col("n") > hot).select("key")
+    n_keys, n_places, n_hot = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > hot)).first()
     bits = 1 << max(16, int(10 * max(1, n_keys)).bit_length())
-    if bits // 8 <= bitmap_bytes:
+    sent, hot_sorted = None, np.zeros(0, np.uint64)
+    if bits // 8 <= bitmap_bytes and n_hot <= hot_keys:
         sent = spark.sparkContext.broadcast(_bitmap(counts.select("key"), bits))
-    else:
-        sent = None
+        hot_sorted = np.sort(hottest.toArrow().column("key").to_numpy().view(np.uint64)) if n_hot else hot_sorted
 
     def known(keys: np.ndarray) -> np.ndarray:
         if sent is None:
@@ -221,78 +263,87 @@ def repeated_windows(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM
         return (sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
     def is_hot(keys: np.ndarray) -> np.ndarray:
-        return np.isin(keys, hot_keys) if len(hot_keys) else np.zeros(len(keys), bool)
+        return np.isin(keys, hot_sorted) if len(hot_sorted) else np.zeros(len(keys), bool)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, woff, m in step_minimisers(batches):
+        for rows, woff, m, words in step_minimisers(batches):
             start, size = m.runs(span)
             key = m.least[start]
             use = known(key) & ~is_hot(key)
             start, size, key = start[use], size[use], key[use]
             if len(start):
                 doc = m.doc[start]
-                yield _passages(key, rows[doc], start - woff[doc], (m.h >> np.uint64(32)).astype("<u4"), start, size + window - 1)
+                yield arrow(_PASSAGE, key.view(np.int64), rows[0][doc], rows[1][doc], (start - woff[doc]).astype(np.int32), pieces(*words, start, size + window - 1))
 
     def hot_windows(m: Minimisers) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows of hot minimisers, and a hash of the words of each."""
-        start = np.flatnonzero(m.inside & is_hot(m.least)) if len(m.least) else np.zeros(0, np.int64)
+        """Starts of the windows of hot minimisers, and a hash of the words of each. Without a broadcast all are hot."""
+        start = np.flatnonzero(m.inside & is_hot(m.least) if sent else m.inside)
         key = np.zeros(len(start), np.uint64)
         for i in range(window):
             key = key * np.uint64(MULTIPLIER) + m.h[start + i]
-        return start, _mixed(key)
+        return start, _mixed(key).view(np.int64)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The different windows of hot minimisers in each step, and how often they stand there."""
-        for _, _, m in step_minimisers(batches):
+        for _, _, m, words in step_minimisers(batches):
             start, key = hot_windows(m)
             if len(start):
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                start = start[first]
-                yield _passages(key, n, np.zeros(len(start), np.int64), (m.h >> np.uint64(32)).astype("<u4"), start, np.full(len(start), window))
+                text = pieces(*words, start, np.full(len(start), window))
+                n, of = Counter(text), dict(zip(text, key.tolist(), strict=True))
+                yield arrow(_WINDOWS, [of[t] for t in n], list(n), list(n.values()))
 
     def placed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, woff, m in step_minimisers(batches):
+        for rows, woff, m, words in step_minimisers(batches):
             start, key = hot_windows(m)
             if len(start):
                 doc = m.doc[start]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rows[doc]), pa.array((start - woff[doc]).astype(np.int32))], names=["key", "row", "start"])
+                yield arrow(_PASSAGE, key, rows[0][doc], rows[1][doc], (rows[2][doc] + start - woff[doc]).astype(np.int32), pieces(*words, start, np.full(len(start), window)))
 
     def marked_by(repeated: DataFrame):
         keys = spark.sparkContext.broadcast(np.sort(repeated.toArrow().column("key").to_numpy()))
 
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, woff, m in step_minimisers(batches):
+            for rows, woff, m, _ in step_minimisers(batches):
                 start, key = hot_windows(m)
-                start = start[np.isin(key.view(np.int64), keys.value)]
+                start = start[np.isin(key, keys.value)]
                 if len(start):  # up to `span` windows of a text that begin near each other share a mask
                     doc = m.doc[start]
-                    group = doc * (1 << 32) + (start - woff[doc]) // span
-                    new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-                    base = (start - woff[doc]) // span * span
-                    mask = np.bitwise_or.reduceat(np.int64(1) << (start - woff[doc] - base), new)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[doc[new]]), pa.array(base[new].astype(np.int32)), pa.array(mask)], names=["row", "start", "mask"])
+                    at = start - woff[doc]
+                    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] // span != at[:-1] // span))))
+                    base = at // span * span
+                    mask = np.bitwise_or.reduceat(np.int64(1) << (at - base), new)
+                    yield arrow(_MARK, rows[0][doc[new]], rows[1][doc[new]], (rows[2][doc[new]] + base[new]).astype(np.int32), mask)
 
         return marked
 
-    def search(passages: DataFrame) -> DataFrame:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    # passages of about 50 words: tasks of some 32 MB, however many the session's setting gives
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, n_places // 100_000)
+
+    def search(passages: DataFrame, tell: bool = False) -> DataFrame:
         dealt = passages.repartition(parts, "key").sortWithinPartitions("key")
-        return dealt.mapInArrow(_shards(window, shard_words), "key long, row long, start int, mask long")
+        return dealt.mapInArrow(_shards(window, shard_words, tell), FOUND_DDL)
 
-    passages = texts.mapInArrow(whole, PASSAGE_DDL).withColumn("weight", F.lit(1).cast("long"))
+    cold, source = texts.mapInArrow(whole, PASSAGE_DDL), texts
     if sent is None:
-        passages = passages.join(counts.select("key"), "key", "left_semi")
-    found = search(passages).select("row", "start", "mask")
-    if len(hot_keys):
-        windows = texts.mapInArrow(single, PASSAGE_DDL)
-        summed = windows.groupBy("key", "words").agg(F.sum("row").alias("weight"))
-        repeated = search(summed.select("key", F.lit(0).cast("long").alias("row"), F.lit(0).alias("start"), "words", "weight")).select("key")
-        repeated = stored(repeated, "hot-windows")
-        if repeated.count() <= broadcast_keys:
-            found = found.unionByName(texts.mapInArrow(marked_by(repeated), MARK_DDL))
-        else:
-            placed = texts.mapInArrow(placed_windows, "key long, row long, start int")
-            found = found.unionByName(placed.join(repeated, "key").select("row", "start", F.lit(1).cast("long").alias("mask")))
+        joined = cold.join(counts, "key")
+        cold = joined.where(F.col("n") <= hot).drop("n")
+        if n_hot:
+            source = stored(joined.where(F.col("n") > hot).select(*own, F.col("words").cast("string").alias("text")), "hot-passages")
+    one = F.lit(1).cast("long")
+    found = search(cold.withColumn("weight", one)).select(*_MARK.names)
+    if not n_hot:
+        return found
+    summed = source.mapInArrow(single, "key long, words binary, n long").groupBy("key", "words").agg(F.sum("n").alias("weight"))
+    repeated = search(summed.select("key", none.alias("row"), none.alias("row2"), F.lit(0).alias("start"), "words", "weight"), tell=True)
+    repeated = stored(repeated.select("key", "words"), "hot-windows")
+    sure, unsure = repeated.where("words is null").select("key").distinct(), repeated.where("words is not null")
+    placed = source.mapInArrow(placed_windows, PASSAGE_DDL)
+    if sure.count() <= broadcast_keys:
+        found = found.unionByName(source.mapInArrow(marked_by(sure), MARK_DDL))
+    else:
+        found = found.unionByName(placed.join(sure, "key").select(*own, one.alias("mask")))
+    if not unsure.isEmpty():  # windows that share a hash with one that stands once
+        found = found.unionByName(placed.join(unsure, ["key", "words"], "left_semi").select(*own, one.alias("mask")))
     return found
 
 
@@ -324,17 +375,20 @@ def drop_repeats(docs: DataFrame, *, keep: list[str] | None = None, window: int
 
     A word goes if a window of `window` words covers it that also starts anywhere else, in the same
     text or another; words are runs of bytes without ASCII white space; kept words are joined by one
-    space. Null texts have no words. Repeated rows are each other's copies; rows are told apart by
-    their place in the table, so null or repeated ids do no harm. Result columns replace columns of
-    their names; an empty table gives no rows.
+    space. Null texts have no words. Repeated rows are each other's copies. What goes from a text
+    depends on the corpus and the text alone, so findings come back to it by a 128-bit digest of its
+    text and doc_id: nothing hangs on the order of rows, and null or repeated ids do no harm. Result
+    columns replace columns of their names; an empty table gives no rows.
     """
     new = ["kept_text", "n_words", "n_removed", "kept_sha256"]
     names = [c for c in (keep or docs.columns) if c not in new]
-    numbered = docs.select(*dict.fromkeys([*names, "text"])).withColumn("__row", F.monotonically_increasing_id())
-    texts = numbered.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
+    base = docs.select(*dict.fromkeys([*names, "text"]))
+    content = [F.coalesce(F.col("text").cast("string"), F.lit("")), *[F.col("doc_id").cast("string")] * ("doc_id" in names)]
+    named = base.withColumn("__row", F.xxhash64(*content)).withColumn("__row2", F.xxhash64(F.lit(1), *content))
+    texts = named.select(F.col("__row").alias("row"), F.col("__row2").alias("row2"), F.col("text").cast("string").alias("text"))
     found = repeated_windows(texts, window=window, **options)
-    by_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("__found"))
-    both = numbered.join(by_row.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+    by_row = found.groupBy(F.col("row").alias("__row"), F.col("row2").alias("__row2")).agg(F.collect_set(F.struct("start", "mask")).alias("__found"))
+    both = named.join(by_row, ["__row", "__row2"], "left").drop("__row", "__row2")
     schema = both.select(*names).schema
     for f, kind in zip(new, ("string", "long", "long", "string"), strict=True):
         schema = schema.add(f, kind)

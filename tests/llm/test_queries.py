@@ -117,11 +117,24 @@ def test_op5(spark, sf_dir, tables):
     want = {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (n, k, t) in removed(tables["documents"], 35).items()}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in run(spark, sf_dir, "op5_substring_dedup")} == want
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for options in ({"hot": 2}, {"hot": 2, "broadcast_keys": 0}, {"bitmap_bytes": 1}, {"shard_words": 500}):
+    ways = [{"hot": 2}, {"hot": 2, "broadcast_keys": 0}, {"bitmap_bytes": 1}, {"shard_words": 500}, {"hot": 2, "hot_keys": 1}, {"hot": 2, "hot_keys": 1, "broadcast_keys": 0}]
+    for options in ways:
         got = substring.drop_repeats(docs, keep=["doc_id"], **options).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want, options
 
 
+def test_op5_words_that_share_a_hash(spark):
+    """Texts that differ in one word only: with hashes of a few bits other words take that word's place."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[:20] + [f"x{k}"] + base[21:])) for k in range(60)] + [(100, " \t".join(base[:20] + ["x7"] + base[21:])), (101, "ddbbajat " + " ".join(base[:34])), (102, "bslexbek " + " ".join(base[:34]))]
+    want = {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (n, k, t) in removed({i: type("R", (), {"text": t}) for i, t in rows}, 35).items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"hot": 2}, {"hot": 2, "broadcast_keys": 0}, {"hot": 2, "hot_keys": 1}, {"bitmap_bytes": 1}):
+        for bits in (64, 4, 1):
+            got = substring.drop_repeats(docs, hash_bits=bits, **options).collect()
+            assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want, (options, bits)
+
+
 def test_fm_index():
     from crownlake.llm.fmindex import FMIndex
 
