@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crownlake.llm.common import stored
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
 
 
 @dataclass(frozen=True)
@@ -74,12 +75,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank (host, rank) over edges (src, dst, n) from seeds (host); ranks sum to at most 1.
 
     Each round joins ranks with normalised edges and sums them by target before rows move; it is
-    written to the shared folder, so a lost executor repeats one round at most. It ends after
-    `rounds`, or once ranks move by less than `tolerance` in all. Hosts without rank don't come out.
+    written to the shared folder, so a lost executor repeats one round at most. It ends once ranks
+    move by less than `tolerance` in all: round k moves at most 2 * damping**k, which bounds the
+    number of rounds (95 by default); a RuntimeError beyond it. Hosts without rank don't come out.
     """
     seeds = seeds.select("host").where("host <> ''").distinct()
     n = seeds.count()
@@ -91,7 +93,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
     out_degree = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = stored(edges.join(out_degree, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
     ranks = stored(restart, "ranks")
-    for _ in range(rounds):
+    for _ in range(math.ceil(math.log(tolerance / 4) / math.log(damping)) + 1):
         moved = share.join(ranks, share.src == ranks.host).select(F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
         back = restart.select("host", (F.col("rank") * (1 - damping)).alias("rank"))
         new = stored(moved.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
@@ -99,8 +101,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
         delta = change.agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).first()[0]
         ranks = new
         if delta < tolerance:
-            break
-    return ranks
+            return ranks
+    raise RuntimeError(f"ranks still move by {delta}")
 
 
 def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, threshold: float = 0.0) -> DataFrame:

@@ -58,3 +58,42 @@ def test_models_keep_all_grams(spark):
     n = 4_000_010
     key, cls, count = gathered(spark.range(n).selectExpr("id AS key", "0 AS class", "IF(id < 10, 2L, 1L) AS n"))
     assert len(key) == n == len(set(key.tolist())) and count.sum() == n + 10
+
+
+def _ranked(edges, seeds, damping):
+    """Dense power iteration until nothing moves; what reaches a host without links is lost."""
+    hosts = sorted({h for a, b, _ in edges for h in (a, b)} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    share = np.zeros((len(hosts), len(hosts)))
+    for a, b, n in edges:
+        share[at[b], at[a]] += n
+    share /= np.maximum(share.sum(axis=0), 1)
+    restart = np.array([h in seeds for h in hosts]) / len(seeds)
+    rank = restart
+    for _ in range(300):
+        rank = damping * share @ rank + (1 - damping) * restart
+    return dict(zip(hosts, rank.tolist(), strict=True))
+
+
+def test_ranks_converge(spark):
+    from crownlake.llm import urlrank
+
+    chain = [(f"h{i}", f"h{i + 1}", 1) for i in range(30)]
+    graph = [("a", "b", 3), ("a", "c", 1), ("b", "a", 2), ("c", "sink", 5), ("b", "sink", 1), ("hub", "a", 1), ("sink2", "hub", 4)]
+    for edges, seeds, damping in ((chain, ["h0"], 0.85), (graph, ["a", "sink2"], 0.3), ([(b, a, n) for a, b, n in graph], ["sink", "b"], 0.3)):
+        frame = spark.createDataFrame(edges, "src string, dst string, n long")
+        got = {r.host: r["rank"] for r in urlrank.propagate(frame, spark.createDataFrame([(s,) for s in seeds], "host string"), damping=damping).collect()}
+        want = _ranked(edges, seeds, damping)
+        assert set(got) == {h for h, x in want.items() if x > 0}
+        assert all(abs(got[h] - want[h]) < 1e-5 for h in got)
+
+
+def test_links_decide(spark):
+    """Trust follows links from allowed pages, distrust follows links to blocked pages backwards; a hostile page changes nothing."""
+    from crownlake.llm import urlrank
+
+    rows = [(1, "http://good.net/de/1", "<a href='http://far.edu/x'>" + "<p>" * 200_000), (2, "http://far.edu/", "<a href=//farther.edu/>"), (3, "http://farther.edu/q", ""), (4, "http://lures.info/", "<a href='//bad.org/es/1'>"), (5, "http://bad.org/es/1", None), (6, "http://both.info/", "<a href='//bad.org/'>"), (7, "http://good.net/other", "<a href='//both.info/'>")]
+    out = urlrank.judge(spark.createDataFrame(rows, "page_id int, url string, html string"))
+    r = {x.page_id: x for x in out.collect()}
+    assert [r[i].verdict for i in (1, 2, 3, 4, 5)] == ["allow", "allow", "allow", "block", "block"]
+    assert r[2].trust > r[3].trust > 0 == r[2].distrust and r[4].distrust > 0 == r[4].trust and r[6].distrust > 0 < r[6].trust
