@@ -78,6 +78,8 @@ def test_decontamination(spark, docs, empty):
     assert decontam.report(empty, items).count() == 0
     text = "Ä, The QUICK--brown fox"
     assert [text[a:b] for a, b in decontam.spans(text, [(2, 3)])] == ["QUICK--brown fox"]
+    found = decontam.find(spark.createDataFrame([(1, text + " (lazy) dog; quick brown fox")], "doc_id long, text string"), items).first()
+    assert [(h.word, h.length, text_of, h["items"]) for h in found.hits for text_of in [(text + " (lazy) dog; quick brown fox")[h.begin : h.end]]] == [(2, 3, "QUICK--brown fox", ["1"]), (5, 2, "lazy) dog", [""]), (7, 3, "quick brown fox", ["1"])]
 
 
 def test_media(docs, empty):

@@ -97,3 +97,21 @@ def test_links_decide(spark):
     r = {x.page_id: x for x in out.collect()}
     assert [r[i].verdict for i in (1, 2, 3, 4, 5)] == ["allow", "allow", "allow", "block", "block"]
     assert r[2].trust > r[3].trust > 0 == r[2].distrust and r[4].distrust > 0 == r[4].trust and r[6].distrust > 0 < r[6].trust
+
+
+def test_blocks_find_all_windows():
+    """Automaton of aligned blocks against plain search, over few different words, so that hits overlap."""
+    from crownlake.llm.decontam import Items
+
+    r = np.random.default_rng(1)
+    for window in (1, 2, 3, 5, 13):
+        for _ in range(15):
+            items = [(str(i), " ".join(chr(97 + x) for x in r.integers(0, 3, r.integers(0, 40)))) for i in range(12)]
+            texts = [[bytes([97 + x]) for x in r.integers(0, 4, n)] for n in (0, 1, 127, 128, 129, *r.integers(0, 400, 3))]
+            tests = Items(items, window)
+            own = [t.encode().split() for _, t in items if t]
+            want = set()
+            for j, w in enumerate(own):
+                for p in {tuple(w[k : k + window]) for k in range(max(1, len(w) - window + 1))}:
+                    want |= {(d, a, len(p), j) for d, t in enumerate(texts) for a in range(len(t) - len(p) + 1) if tuple(t[a : a + len(p)]) == p}
+            assert set(zip(*(x.tolist() for x in tests.find(texts)), strict=True)) == want, window
