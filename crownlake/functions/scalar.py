@@ -37,7 +37,7 @@ def _binomial(name: Column) -> Column:
 
 
 def short_name(name: Column) -> Column:
-    """'Acer saccharum Marshall' -> 'A. saccharum'; one word or lower case: the first word."""
+    """Initial of the first word and the second word, as 'P. abies' for 'Picea abies (L.) H.Karst.'; one word or lower case: the first word."""
     w = _words(name)
     return F.when(_binomial(name), F.concat(F.substring(w[0], 1, 1), F.lit(". "), F.get(w, F.lit(1)))).otherwise(w[0])
 
@@ -51,11 +51,14 @@ def last_word(name: Column) -> Column:
     return F.element_at(_words(name), -1)
 
 
+#: authors' names that may stand last in a species name.
+AUTHORS = ("A.Dietr.", "L.")
+
+
 def species_match(found: Column, wanted: Column) -> Column:
-    """Same genus, or same initial of the genus, and the same epithet where both have one."""
-    a, b = F.transform(_words(found), F.lower), F.transform(_words(wanted), F.lower)
-    genus = F.when(a[0].endswith("."), F.substring(a[0], 1, 1) == F.substring(b[0], 1, 1)).otherwise(a[0] == b[0])
-    return genus & ((F.size(a) < 2) | (F.size(b) < 2) | (F.get(a, F.lit(1)) == F.get(b, F.lit(1))))
+    """Same initial, and the same last word; a wanted name of one word, or that ends with an author, matches by initial."""
+    initial = F.upper(F.substring(F.trim(found), 1, 1)) == F.upper(F.substring(F.trim(wanted), 1, 1))
+    return initial & ((F.size(_words(wanted)) == 1) | last_word(wanted).isin(*AUTHORS) | (last_word(wanted) == last_word(found)))
 
 
 def strip_suffix(name: Column, suffix: str) -> Column:

@@ -31,34 +31,44 @@ def micro(df: DataFrame, by: Sequence[str], n_pred: str = "n_pred", n_true: str
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def ap_linear101(rows: DataFrame, truths: DataFrame, by: Sequence[str], score: str = "score", hit: str = "hit", order: Sequence[str] = ()) -> DataFrame:
+def ap_linear101(rows: DataFrame, truths: DataFrame, by: Sequence[str], score: str = "score", hit: str = "hit", order: Sequence[str] = (), bins: int = 64) -> DataFrame:
     """Average precision over pooled predictions, linear between recall points at 101 recalls.
 
     rows: predictions; truths: (by, n_true). Precision is its running maximum from the right; left of
     the first recall stands the first precision, right of the last 0; of equal recalls the last
     counts. No truth: null; no prediction: 0.
+
+    Predictions are ranked in `bins` ranges of score, each a task of its own; counts of the ranges
+    before and maxima of those behind are carried over, which takes a few rows a group.
     """
-    w = W.partitionBy(*by).orderBy(F.desc(score), *order)
-    run = rows.withColumn("rank", F.row_number().over(w)).withColumn("tp", F.sum(F.col(hit).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    right = W.partitionBy(*by).orderBy("rank").rowsBetween(0, W.unboundedFollowing)
-    run = run.withColumn("env", F.max(F.col("tp") / F.col("rank")).over(right)).join(truths.where("n_true > 0"), list(by))
-    run = run.withColumn("r", F.col("tp") / F.col("n_true"))
-    top = run.groupBy(*by).agg(F.max("r").alias("r_max"), F.min_by("env", "rank").alias("p_first"))
-    last = run.groupBy(*by, "r").agg(F.max_by("env", "rank").alias("p_end"), F.min_by("env", "rank").alias("p_start"))
-    ahead = W.partitionBy(*by).orderBy("r")
-    pieces = last.withColumn("r2", F.lead("r").over(ahead)).withColumn("p2", F.lead("p_start").over(ahead))
-    at = F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k")
-    grid = top.select(*by, "r_max", "p_first", at).withColumn("x", F.col("k") / 100)
-    # a piece holds the grid points from its recall up to the next piece's
-    low, high = F.ceil(F.round(F.col("r") * 100, 9)), F.ceil(F.round(F.coalesce(F.col("r2"), F.col("r")) * 100, 9))
-    last_point = F.when(F.col("r2").isNull(), F.floor(F.round(F.col("r") * 100, 9))).otherwise(high - 1)
-    cut = pieces.where(last_point >= low).select(*by, "r", "r2", "p_end", "p2", F.explode(F.sequence(low, last_point)).alias("k")).withColumn("k", F.col("k").cast("int"))
-    value = F.when(F.col("r2").isNull(), F.col("p_end")).otherwise(F.col("p_end") + (F.col("p2") - F.col("p_end")) * (F.col("k") / 100 - F.col("r")) / (F.col("r2") - F.col("r")))
-    cut = cut.select(*by, "k", value.alias("p"))
-    both = grid.join(cut, [*by, "k"], "left")
-    first_r = run.groupBy(*by).agg(F.min("r").alias("r_min"))
-    both = both.join(first_r, list(by)).withColumn("p", F.when(F.col("p").isNotNull(), F.col("p")).when(F.col("x") < F.col("r_min"), F.col("p_first")).otherwise(F.lit(0.0)))
-    ap = both.groupBy(*by).agg((F.sum("p") / 101).alias("ap"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(score, [k / bins for k in range(1, bins)], 1000).alias("__cuts"))
+    bin_ = F.when(F.col(score).isNull(), bins).otherwise(F.size(F.filter("__cuts", lambda c: c > F.col(score))))
+    run = rows.join(cuts, list(by)).withColumn("__bin", bin_).drop("__cuts")
+    own = W.partitionBy(*by, "__bin").orderBy(F.desc(score), *order)
+    run = run.withColumn("rank", F.row_number().over(own)).withColumn("tp", F.sum(F.col(hit).cast("long")).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    before = W.partitionBy(*by).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    size = run.groupBy(*by, "__bin").agg(F.max("rank").alias("__n"), F.coalesce(F.max("tp"), F.lit(0)).alias("__hits"))
+    size = size.select(*by, "__bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__n", "__hits")])
+    run = run.join(size, [*by, "__bin"]).withColumn("rank", F.col("rank") + F.col("__n")).withColumn("tp", F.coalesce("tp", F.lit(0)) + F.col("__hits"))
+    run = run.select(*by, "__bin", "rank", "tp", (F.col("tp") / F.col("rank")).alias("p"))
+    behind = W.partitionBy(*by).orderBy(F.desc("__bin")).rowsBetween(W.unboundedPreceding, -1)
+    most = run.groupBy(*by, "__bin").agg(F.max("p").alias("__p")).select(*by, "__bin", F.max("__p").over(behind).alias("__later"))
+    from_right = W.partitionBy(*by, "__bin").orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
+    run = run.join(most, [*by, "__bin"]).withColumn("env", F.greatest(F.max("p").over(from_right), "__later")).join(truths.where("n_true > 0"), list(by))
+    top = run.groupBy(*by).agg(F.max("tp").alias("most"), F.min("tp").alias("least"), F.min_by("env", "rank").alias("p_first"), F.first("n_true").alias("n_true"))
+    ends = run.groupBy(*by, "tp").agg(F.max_by("env", "rank").alias("p_end"), F.min_by("env", "rank").alias("p_start"))
+    # recall rises by one hit at a time: a piece holds the grid points from its recall up to the next one's
+    pieces = ends.select(*by, "tp", "p_end").join(top.select(*by, "most", "n_true"), list(by))
+    r, r2 = F.col("tp") / F.col("n_true"), (F.col("tp") + 1) / F.col("n_true")
+    low, high, end = F.ceil(F.round(r * 100, 9)), F.ceil(F.round(r2 * 100, 9)), F.col("tp") == F.col("most")
+    last_point = F.when(end, F.floor(F.round(r * 100, 9))).otherwise(high - 1)
+    pieces = pieces.where(last_point >= low).select(*by, "tp", r.alias("r"), r2.alias("r2"), end.alias("end"), "p_end", F.explode(F.sequence(low, last_point)).alias("k"))
+    pieces = pieces.join(ends.select(*by, (F.col("tp") - 1).alias("tp"), F.col("p_start").alias("p2")), [*by, "tp"], "left")
+    value = F.when(F.col("end"), F.col("p_end")).otherwise(F.col("p_end") + (F.col("p2") - F.col("p_end")) * (F.col("k") / 100 - F.col("r")) / (F.col("r2") - F.col("r")))
+    grid = top.select(*by, (F.col("least") / F.col("n_true")).alias("r_min"), "p_first", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k"))
+    both = grid.join(pieces.select(*by, F.col("k").cast("int").alias("k"), value.alias("p")), [*by, "k"], "left")
+    p = F.when(F.col("p").isNotNull(), F.col("p")).when(F.col("k") / 100 < F.col("r_min"), F.col("p_first")).otherwise(F.lit(0.0))
+    ap = both.groupBy(*by).agg((F.sum(p) / 101).alias("ap"))
     return truths.join(ap, list(by), "left").select(*by, F.when(F.col("n_true") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 

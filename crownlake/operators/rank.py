@@ -109,5 +109,10 @@ def interleaved(df: DataFrame, group: str, item: str, groups: int, block: int, s
     """
     ranked = df.select(group).distinct().withColumn("__g", F.row_number().over(W.orderBy(hash_order(group, seed), group)) - 1)
     own = df.join(ranked, group).withColumn("__i", F.row_number().over(W.partitionBy(group).orderBy(hash_order(item, seed), item)) - 1)
-    order = [F.floor(F.col("__g") / groups), F.floor(F.col("__i") / block), F.col("__i") % block, F.col("__g")]
-    return own.withColumn("place", F.row_number().over(W.orderBy(*order)) - 1).drop("__g", "__i")
+    own = own.withColumn("__t", F.floor(F.col("__g") / groups))
+    # places count within the groups that come together; the rows before them are one number each
+    before = own.groupBy("__t").agg(F.count("*").alias("__n"))
+    before = before.select("__t", F.coalesce(F.sum("__n").over(W.orderBy("__t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__n"))
+    turn = W.partitionBy("__t").orderBy(F.floor(F.col("__i") / block), F.col("__i") % block, "__g")
+    out = own.withColumn("place", F.row_number().over(turn)).join(before, "__t")
+    return out.withColumn("place", (F.col("place") + F.col("__n") - 1).cast("int")).drop("__g", "__i", "__t", "__n")

@@ -76,9 +76,14 @@ def _over(column: str):
     return Window.orderBy(column)
 
 
-def evaluate_folder(spark: SparkSession, label_path: str, truth_json: str, size: int, **options) -> DataFrame:
-    """label_map_metrics() of a folder of label PNGs against a prepared annotation index."""
+def evaluate_folder(spark: SparkSession, label_path: str, truth_json: str, size: int, *, truth_size: int = 2048, least_area: int = 0, **options) -> DataFrame:
+    """label_map_metrics() of a folder of size x size label PNGs against a prepared annotation index.
+
+    Truth rings are in pixels of a truth_size x truth_size picture: they and, by the square, least_area are scaled to the maps.
+    """
+    scale = size / truth_size
     found = readers.label_runs(spark, label_path).drop("folder")
     rings = readers.annotation_index(spark, truth_json)
-    truth = polygons.filled(rings.withColumn("label", F.col("ring_no") + 1), ["stem", "label"], size, size)
-    return label_map_metrics(found, truth, **options)
+    scaled = F.transform("ring", lambda p: F.struct((p["x"] * scale).alias("x"), (p["y"] * scale).alias("y")))
+    truth = polygons.filled(rings.select("stem", (F.col("ring_no") + 1).alias("label"), scaled.alias("ring")), ["stem", "label"], size, size)
+    return label_map_metrics(found, truth, least_area=int(least_area * scale**2), **options)

@@ -12,7 +12,7 @@ H, W_, K = 48, 64, 12
 #: Boxes of parts: position and size follow from keys.
 _BOX = "p_partkey AS id, p_partkey * 37 % 1000 AS x0, p_partkey * 91 % 800 AS y0, p_partkey * 37 % 1000 + 5 + p_size AS x1, p_partkey * 91 % 800 + 5 + p_partkey % 40 AS y1"
 _RASTER = f"(SELECT CAST(l_orderkey % {H} AS INTEGER) AS y, CAST(l_partkey % {W_} AS INTEGER) AS x, CAST(max(l_suppkey % {K}) AS INTEGER) AS label FROM lineitem GROUP BY 1, 2)"
-_SECOND = f"(SELECT CAST(l_partkey % {H} AS INTEGER) AS y, CAST(l_orderkey % {W_} AS INTEGER) AS x, CAST(max(l_linenumber) AS INTEGER) AS label FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2)"
+_SECOND = f"(SELECT CAST(l_partkey % {H} AS INTEGER) AS y, CAST(l_orderkey % {W_} AS INTEGER) AS x, CAST(max(l_linenumber) AS INTEGER) AS label FROM lineitem GROUP BY 1, 2)"
 _PIXELS = f"(SELECT * FROM {_RASTER} WHERE label > 0)"
 
 
@@ -26,7 +26,7 @@ def pixels(spark, d) -> DataFrame:
 
 
 def second(spark, d) -> DataFrame:
-    t = load(spark, d, "lineitem").where("l_quantity > 10").groupBy((F.col("l_partkey") % H).cast("int").alias("y"), (F.col("l_orderkey") % W_).cast("int").alias("x"))
+    t = load(spark, d, "lineitem").groupBy((F.col("l_partkey") % H).cast("int").alias("y"), (F.col("l_orderkey") % W_).cast("int").alias("x"))
     return t.agg(F.max("l_linenumber").cast("int").alias("label"))
 
 
@@ -68,8 +68,7 @@ _HIT = "EXISTS (SELECT 1 FROM (SELECT " + _BOX + ", p_brand AS frame FROM part)
 
 def _hit(spark, d, missed):
     b = boxes(spark, d)
-    near = (F.col("f.x0") < F.col("t.x1")) & (F.col("t.x0") < F.col("f.x1")) & (F.col("f.y0") < F.col("t.y1")) & (F.col("t.y0") < F.col("f.y1"))
-    return joins.hit_by_any(b.where("id % 2 = 1"), b.where("id % 2 = 0"), ["frame"], near, missed).select("frame", "id")
+    return joins.hit_by_any(b.where("id % 2 = 1"), b.where("id % 2 = 0"), ["frame"], "id", 64, missed).select("frame", "id")
 
 
 @query(f"SELECT frame, id FROM (SELECT {_BOX}, p_brand AS frame FROM part) t WHERE id % 2 = 1 AND {_HIT}")
@@ -143,9 +142,9 @@ def dilate_boundary(spark, d):
 
 
 @query(f"""SELECT y, x, max(rn)::INTEGER AS label FROM (SELECT *, dense_rank() OVER (ORDER BY score, id) AS rn FROM (SELECT p_partkey AS id, p_retailprice AS score, p_partkey * 7 % 60 AS x0, p_partkey * 11 % 40 AS y0, p_size % 9 + 1 AS s
-FROM part WHERE p_partkey < 60)), LATERAL (SELECT y0 + unnest(range(s)) AS y), LATERAL (SELECT x0 + unnest(range(s)) AS x) GROUP BY 1, 2""")
+FROM part)), LATERAL (SELECT y0 + unnest(range(s)) AS y), LATERAL (SELECT x0 + unnest(range(s)) AS x) GROUP BY 1, 2""")
 def label_map_from_instances(spark, d):
-    t = load(spark, d, "part").where("p_partkey < 60").selectExpr("p_partkey AS inst_id", "p_retailprice AS score", "p_partkey * 7 % 60 AS x0", "p_partkey * 11 % 40 AS y0", "p_size % 9 + 1 AS s")
+    t = load(spark, d, "part").selectExpr("p_partkey AS inst_id", "p_retailprice AS score", "p_partkey * 7 % 60 AS x0", "p_partkey * 11 % 40 AS y0", "p_size % 9 + 1 AS s")
     t = t.withColumn("y", F.explode(F.expr("sequence(y0, y0 + s - 1)"))).withColumn("x", F.explode(F.expr("sequence(x0, x0 + s - 1)")))
     return raster.painted(t)
 
@@ -224,11 +223,11 @@ def tile_evaluation(spark, d):
 
 
 @query("""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY frame) AS n FROM (SELECT frame, id, score, list_transform(range(49), lambda k: (y0 % 60 + k // 7) * 1000 + x0 % 60 + k % 7) AS px
-FROM (SELECT """ + _BOX + """, p_brand AS frame, p_retailprice AS score FROM part) WHERE id < 400)),
+FROM (SELECT """ + _BOX + """, p_brand AS frame, p_retailprice AS score FROM part))),
 k AS (SELECT frame, rn, id, true AS good, px AS claimed FROM r WHERE rn = 1 UNION ALL SELECT r.frame, r.rn, r.id, len(list_filter(r.px, lambda q: list_contains(claimed, q))) / 49 <= 0.3,
 CASE WHEN len(list_filter(r.px, lambda q: list_contains(claimed, q))) / 49 <= 0.3 THEN list_concat(claimed, r.px) ELSE claimed END FROM k JOIN r ON r.frame = k.frame AND r.rn = k.rn + 1) SELECT frame, id, 49::BIGINT AS area FROM k WHERE good""")
 def occupied_union(spark, d):
-    b = boxes(spark, d).where("id < 400").selectExpr("frame", "id", "score", "explode(sequence(y0 % 60, y0 % 60 + 6)) AS y", "x0 % 60 AS x0")
+    b = boxes(spark, d).selectExpr("frame", "id", "score", "explode(sequence(y0 % 60, y0 % 60 + 6)) AS y", "x0 % 60 AS x0")
     return instances.unclaimed(b.selectExpr("frame", "id", "score", "y", "explode(sequence(x0, x0 + 6)) AS x"), ["frame"]).groupBy("frame", "id").agg(F.count("*").alias("area"))
 
 

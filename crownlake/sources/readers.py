@@ -6,10 +6,9 @@ decoded on the executors in Arrow batches.
 
 from __future__ import annotations
 
-import os
 import sqlite3
-import tempfile
 from collections.abc import Iterator
+from contextlib import closing
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,15 +142,11 @@ def gpkg(spark: SparkSession, path: str, table: str, shape: str = "Shape", label
     """Polygons of a GeoPackage table as rings (label, feature, part, ring); only two columns are read from SQLite."""
 
     def decode(r):
-        with tempfile.NamedTemporaryFile(suffix=".gpkg", delete=False) as f:
-            f.write(r["content"])
-        try:
-            with sqlite3.connect(f.name) as db:
-                for n, (blob, name) in enumerate(db.execute(f'SELECT "{shape}", "{label}" FROM "{table}"')):
-                    for k, ring in enumerate(codecs.wkb_rings(blob) if blob else []):
-                        yield name, n, k, [{"x": x, "y": y} for x, y in ring]
-        finally:
-            os.unlink(f.name)
+        with closing(sqlite3.connect(":memory:")) as db:
+            db.deserialize(r["content"])
+            for n, (blob, name) in enumerate(db.execute(f'SELECT "{shape}", "{label}" FROM "{table}"')):
+                for k, ring in enumerate(codecs.wkb_rings(blob) if blob else []):
+                    yield name, n, k, [{"x": x, "y": y} for x, y in ring]
 
     return _decoded(files(spark, path, (".gpkg",)), f"label string, feature int, part int, ring {POINT}", decode)
 

@@ -77,7 +77,9 @@ def test_evaluation_chain(spark, tmp_path):
     (tmp_path / "maps" / "other_02_labels.png").write_bytes(codecs.png_encode(t))
     flat = [[c for q in square(1, 1, 3) for c in q], [c for q in square(4, 4, 4) for c in q]]
     (tmp_path / "truth.json").write_text(json.dumps({"north_01": flat, "south_09": flat}))
-    r = chains.evaluate_folder(spark, str(tmp_path / "maps"), str(tmp_path / "truth.json"), 8).collect()
+    (tmp_path / "large.json").write_text(json.dumps({k: [[256 * x for x in ring] for ring in flat] for k in ("north_01", "south_09")}))
+    r = chains.evaluate_folder(spark, str(tmp_path / "maps"), str(tmp_path / "truth.json"), 8, truth_size=8).collect()
+    assert chains.evaluate_folder(spark, str(tmp_path / "maps"), str(tmp_path / "large.json"), 8).collect() == r
     assert [(x.area, x.pred, x.gt, x.hits) for x in r] == [("north", 3, 2, 2)]
     assert (r[0].precision, r[0].recall, r[0].f1, r[0].mean_iou) == pytest.approx((2 / 3, 1, 0.8, 0.625))
 
