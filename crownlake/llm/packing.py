@@ -16,7 +16,7 @@ from crownlake.llm.bpe import default_path, encoder
 from crownlake.llm.common import arrow, steps, stored
 
 #: Remainders that one differencing works on.
-GROUP = 512
+GROUP = 128
 _PIECE = pa.schema(
     [
         ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
@@ -53,38 +53,32 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 def fill(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start in the item, length), each at most `capacity` long.
 
-    The number of windows starts at the whole windows that the items fill and rises while their
-    capacity is exceeded. What differencing leaves above the capacity of one window is cut off, and
-    fills the room in others together with the emptiest window, so that all windows but one are full.
+    Differencing deals whole items (whole windows of longer ones are cut off first) to near-equal
+    windows. Their number starts at the fewest that could hold all and rises, by what lies over the
+    capacity, until no window exceeds it. Items may be cut freely, so the emptiest windows above the
+    fewest are dissolved then into the room of the others, and all windows but one are full.
     """
+    parts = [(i, at, min(capacity, n - at)) for i, n in enumerate(sizes) for at in range(0, n, capacity)]
     total = sum(sizes)
     if not total:
         return []
-    k = max(1, total // capacity)
-    while total > k * capacity:
-        k += 1
-    windows: list[list[tuple[int, int, int]]] = []
-    spare: list[tuple[int, int, int]] = []
-    for items in differencing(sizes, k):
-        room, window = capacity, []
-        for i in sorted(items, key=lambda i: (-sizes[i], i)):
-            n = min(room, sizes[i])
-            if n:
-                window.append((i, 0, n))
-            if n < sizes[i]:
-                spare.append((i, n, sizes[i] - n))
-            room -= n
-        windows.append(window)
-    used = [sum(x[2] for x in w) for w in windows]
-    emptiest = min(range(k), key=lambda j: (used[j], -j))
-    spare += windows[emptiest]
-    windows[emptiest], used[emptiest] = [], 0
-    for at in sorted(range(k), key=lambda j: (j == emptiest, -used[j], j)):
-        while spare and used[at] < capacity:
+    fewest = k = -(-total // capacity)
+    while True:
+        windows = [[parts[j] for j in items] for items in differencing([n for _, _, n in parts], k)]
+        over = sum(max(0, sum(n for _, _, n in w) - capacity) for w in windows)
+        if not over:
+            break
+        k += max(1, over // capacity)
+    windows.sort(key=lambda w: -sum(n for _, _, n in w))
+    spare = [x for w in windows[fewest - 1 :] for x in w]
+    windows = [*windows[: fewest - 1], []]
+    for w in windows:
+        room = capacity - sum(n for _, _, n in w)
+        while spare and room:
             i, start, n = spare.pop()
-            m = min(n, capacity - used[at])
-            windows[at].append((i, start, m))
-            used[at] += m
+            m = min(n, room)
+            w.append((i, start, m))
+            room -= m
             if m < n:
                 spare.append((i, start + m, n - m))
     return windows
