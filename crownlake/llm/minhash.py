@@ -1,4 +1,9 @@
-"""Near copies by whole shingle sets: MinHash bands name candidates, the Jaccard similarity of the sets decides."""
+"""Near copies by whole shingle sets: SimHash classes and MinHash bands name candidates, the Jaccard
+similarity of the sets decides.
+
+Sets of similarity 0.8 have prints that differ in ten bits on average, more than BK-trees can search
+at scale, so the bands supply what lies beyond the trees' radius.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crownlake.llm.common import arrow, claim, steps, stored
-from crownlake.llm.simhash import gram_set
+from crownlake.llm.components import smallest_reachable
+from crownlake.llm.simhash import gram_hashes, links, majority_bits
 
 #: Two sets of similarity s agree on a band with s**ROWS: at 0.8 a pair misses all bands with a chance of 1.2e-7.
 BANDS, ROWS = 40, 5
@@ -20,7 +26,7 @@ MOST_HEADS = 32
 _r = np.random.default_rng(42)
 _ODD = (_r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_MARKED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_MARKED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("print", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
@@ -37,6 +43,11 @@ def bands(grams: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
 
 
+def gram_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted, different hashes of a text's word shingles; none for a wordless text."""
+    return np.unique(gram_hashes(text, words)).view(np.int64)
+
+
 def text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
@@ -46,9 +57,11 @@ def _marked(words: int):
         claim("minhash")
         for batch in batches:
             for b in steps(batch, "text"):
-                sets = [gram_set(t, words) for t in b.column(2).to_pylist()]
+                hashes = [gram_hashes(t, words) for t in b.column(2).to_pylist()]
+                sets = [np.unique(h).view(np.int64) for h in hashes]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield arrow(_MARKED, b.column(0), b.column(1), node, pa.array([bands(s) for s in sets], pa.list_(pa.int64())))
+                prints = np.array([majority_bits(h) for h in hashes], np.uint64).view(np.int64)
+                yield arrow(_MARKED, b.column(0), b.column(1), node, prints, pa.array([bands(s) for s in sets], pa.list_(pa.int64())))
 
     return marked
 
@@ -69,15 +82,18 @@ def survivors(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> Da
     Rows go by rising doc_id, then text_hash: one stays unless the Jaccard similarity of its shingles
     with those of one that stays is `similarity` or more (0.8 at least, for which the bands are made).
     Equal sets are one node (64-bit digest), so wordless texts are. Null doc_ids are left out.
+    Candidates share a band or the class of their SimHash prints (links of 4 bits, by BK-trees).
 
     In a round a node stays if all smaller open ones in its buckets were held against it and none is
     similar; a node goes if it is similar to one that stays. Both leave the buckets.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    rows = stored(own.mapInArrow(_marked(words), "doc_id long, text_hash long, node long, bands array<long>"), "shingle-sets")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "node")).alias("place"), F.first("bands").alias("bands"))
+    rows = stored(own.mapInArrow(_marked(words), "doc_id long, text_hash long, node long, print long, bands array<long>"), "shingle-sets")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "node")).alias("place"), F.first("bands").alias("bands"), F.first("print").alias("print"))
     nodes = stored(nodes, "nodes")
-    keys = nodes.select(F.explode("bands").alias("key"), "place")
+    classes = smallest_reachable(links(nodes.select("print").distinct())).withColumnRenamed("node", "print")
+    near = nodes.join(classes, "print", "left").select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "print")).alias("key"), "place")
+    keys = nodes.select(F.explode("bands").alias("key"), "place").unionByName(near)
     crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = stored(keys.join(crowded, "key", "left_semi"), "buckets")
     open_ = stored(keys.select("place").distinct(), "open")

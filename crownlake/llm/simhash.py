@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from crownlake.llm.common import arrow, claim, steps, stored
 from crownlake.llm.components import smallest_reachable
 
 WORDS, RADIUS, SEED, BLOCKS = 4, 4, 42, 6
-#: Prints of one bucket that go into one tree; a bucket with more is searched by midpoints instead.
+#: Prints of one bucket that go into one tree; those of a bucket with more are dealt to smaller ones.
 TREE = 16_384
 #: Prints that one forest is built over.
 FOREST = 200_000
@@ -25,19 +26,23 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """A bit is set if it is set in over half of the XXH64 hashes of the text's word shingles."""
+def gram_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included, A-Z in lower case; fewer words are one shingle, none are none."""
     own = text.encode().lower().split() if text else []
     if not own:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(own)
     h = xxhash.xxh64_intdigest
     if len(own) <= words:
-        return h(joined, SEED)
+        return np.array([h(joined, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in own]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
-    by = hashes.view(np.uint8).reshape(-1, 8)
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; no hash, no bit."""
+    by = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     out = 0
     for k in range(8):
         ones = np.bincount(by[:, k], minlength=256) @ _BITS
@@ -45,6 +50,10 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return out
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    return majority_bits(gram_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, print) for each row; print is the unsigned fingerprint in a signed long. Null and wordless texts: 0."""
 
@@ -105,40 +114,56 @@ def _trees(radius: int):
     return linked
 
 
+#: Keys a print of the finest buckets that over-full ones are split into.
+MOST_KEYS = 256
+
+
 def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
     """Edges (a, b) that join the same prints as all pairs within the radius do, few for each bucket.
 
     prints: distinct, one column `print`. Each bucket of prints that agree on some blocks has a
-    BK-tree; the edges of a bucket join each print to the first of its class. A bucket above `tree`
-    prints is not searched in one task: for a radius up to 4 its prints meet at the midpoints of their
-    links, all prints within half the radius of a print, so that no pair is lost and no group is
-    larger than that ball; for a larger radius it is cut up and each two cuts share a tree.
+    BK-tree; the edges of a bucket join each print to the first of its class. The prints of a bucket
+    above `tree` are dealt anew by more and smaller blocks, of which they must agree on more bits, to
+    further trees; no pair is lost, since prints within the radius agree on all blocks but `radius`
+    however many there are. Only where over `tree` prints agree on some 38 bits do pairs meet
+    otherwise: for a radius up to 4 at the midpoints of their links, all prints within half the radius
+    of a print; for a larger radius the bucket is cut up and each two cuts share a tree.
     """
     spark = prints.sparkSession
-    rows = prints.select("print", F.explode(bucket_keys(F.col("print"), radius, blocks)).alias("key")).select("key.choice", "key.bits", "print")
-    counts = rows.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > tree)
-    hot = stored(counts, "hot-buckets")
-    n_hot = hot.count()
-    edges = []
-    if n_hot and radius <= 4:
-        many = rows.join(hot, ["choice", "bits"], "left_semi").select("print").distinct()
-        rows = rows.join(hot, ["choice", "bits"], "left_anti")
-        half = (radius + 1) // 2
-        masks = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)]
-        flips = F.lit([m - (1 << 64) if m >> 63 else m for m in masks]).cast("array<long>")
-        met = many.select("print", F.explode(flips).alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("mid"))
-        met = met.groupBy("mid").agg(F.min("print").alias("b"), F.collect_list("print").alias("all")).where(F.size("all") > 1)
-        edges.append(met.select(F.explode("all").alias("a"), "b").where("a <> b").distinct())
-    elif n_hot:
-        cut = rows.join(hot.select("choice", "bits", F.ceil(F.col("n") / (tree // 2)).alias("cuts")), ["choice", "bits"])
-        rows = rows.join(hot, ["choice", "bits"], "left_anti")
-        own = F.pmod(F.xxhash64("print"), F.col("cuts"))
-        cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-        pair = 1 + F.least("own", "other") * F.col("cuts") + F.greatest("own", "other")
-        rows = rows.unionByName(cut.select((F.col("choice") + 1000 * pair).alias("choice"), "bits", "print"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    trees = rows.repartition(parts, "choice", "bits").sortWithinPartitions("choice", "bits", "print")
-    edges.append(trees.select("choice", "bits", "print").mapInArrow(_trees(radius), "a long, b long"))
+    session_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    many = prints.count()
+    edges: list[DataFrame] = []
+
+    def search(rows: DataFrame, keys: int) -> None:
+        dealt = rows.repartition(max(session_parts, many * keys // 2_000_000), "choice", "bits").sortWithinPartitions("choice", "bits", "print")
+        edges.append(dealt.select("choice", "bits", "print").mapInArrow(_trees(radius), "a long, b long"))
+
+    while True:
+        keys = comb(blocks, radius)
+        rows = prints.select("print", F.explode(bucket_keys(F.col("print"), radius, blocks)).alias("key")).select("key.choice", "key.bits", "print")
+        full = stored(rows.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > tree), "over-full")
+        if full.isEmpty():
+            search(rows, keys)
+            break
+        search(rows.join(full, ["choice", "bits"], "left_anti"), keys)
+        prints = stored(rows.join(full, ["choice", "bits"], "left_semi").select("print").distinct(), "dense")
+        if comb(blocks + 2, radius) <= MOST_KEYS:
+            blocks += 2
+            continue
+        if radius <= 4:
+            half = (radius + 1) // 2
+            masks = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)]
+            flips = F.lit([m - (1 << 64) if m >> 63 else m for m in masks]).cast("array<long>")
+            met = prints.select("print", F.explode(flips).alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("mid"))
+            met = met.groupBy("mid").agg(F.min("print").alias("b"), F.collect_list("print").alias("all")).where(F.size("all") > 1)
+            edges.append(met.select(F.explode("all").alias("a"), "b").where("a <> b").distinct())
+        else:
+            cut = rows.join(full.select("choice", "bits", F.ceil(F.col("n") / (tree // 2)).alias("cuts")), ["choice", "bits"])
+            own = F.pmod(F.xxhash64("print"), F.col("cuts"))
+            cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+            pair = 1 + F.least("own", "other") * F.col("cuts") + F.greatest("own", "other")
+            search(cut.select((F.col("choice") + 1000 * pair).alias("choice"), "bits", "print"), keys)
+        break
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -153,58 +178,10 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS
     name a component unless it has no other. Repeated rows stay; an empty table gives no rows.
     """
     prints = stored(fingerprints(docs, words), "prints")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
     edges = links(nodes.select("print"), radius, blocks, tree)
     classes = smallest_reachable(edges)  # (node, root)
     named = nodes.join(classes.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("print", "root").join(roots, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", "print", "component_id")
-
-
-_GRAMS = pa.schema([("doc_id", pa.int64()), ("component_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
-
-
-def gram_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted, different 64-bit hashes of a text's word shingles (A-Z in lower case); none for a wordless text."""
-    own = text.encode().lower().split() if text else []
-    joined = [b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))] if own else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in joined], np.uint64)).view(np.int64)
-
-
-def distinct_documents(docs: DataFrame, *, words: int = 5, radius: int = 8, blocks: int = 10, similarity: float = 0.8, tree: int = TREE) -> DataFrame:
-    """doc_id of the documents that no earlier kept one resembles.
-
-    Candidates are the classes of near_duplicates(). In each, by rising doc_id, a document goes if the
-    Jaccard similarity of its shingles with those of one that stays is `similarity` or more; equal sets
-    (wordless texts have equal ones) are settled by a digest first. Each round compares all open
-    documents of a class with the first of them and ends when none is open. Null doc_ids are left out.
-    """
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(near_duplicates(own, words=words, radius=radius, blocks=blocks, tree=tree).select("doc_id", "component_id"), "classes")
-    crowded = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    alone = found.join(crowded, "component_id", "left_anti").select("doc_id")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("simhash")
-        for batch in batches:
-            for b in steps(batch, "text"):
-                sets = [gram_set(t, words) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-                yield arrow(_GRAMS, b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("component_id")), pa.array(sets, pa.list_(pa.int64())))
-
-    members = own.join(found.join(crowded, "component_id", "left_semi").distinct(), "doc_id").select("doc_id", "component_id", "text")
-    members = stored(members.mapInArrow(hashed, "doc_id long, component_id long, grams array<long>"), "members")
-    digest = F.xxhash64("grams")
-    first = members.groupBy("component_id", digest.alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    rest = stored(members.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi"), "open")
-    leaders = []
-    while not rest.isEmpty():
-        lead = stored(rest.groupBy("component_id").agg(F.min("doc_id").alias("leader")), "leaders")
-        leaders.append(lead.select(F.col("leader").alias("doc_id")))
-        sets = rest.join(lead, [rest.doc_id == lead.leader, rest.component_id == lead.component_id], "left_semi").select("component_id", F.col("grams").alias("led"))
-        both = F.size(F.array_intersect("grams", "led"))
-        jaccard = F.try_divide(both, F.size("grams") + F.size("led") - both)
-        rest = stored(rest.join(sets, "component_id").where((jaccard < similarity) & jaccard.isNotNull()).select("doc_id", "component_id", "grams"), "open")
-    for lead in leaders:
-        alone = alone.unionByName(lead)
-    return alone

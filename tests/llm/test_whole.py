@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from crownlake.llm.simhash import gram_set
+from crownlake.llm.minhash import gram_set
 
 
 def _kept(rows):
