@@ -13,22 +13,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names in spark.checkpoint.dir.
 
-    Where the setting is missing (tests on one machine) a temporary folder is set once.
+    Where the setting is missing, a local master may use a temporary folder, which is set once; on a
+    cluster executors would write to their own disks, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _folder.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="crownlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _folder[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="crownlake-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The temporary folder of each local application that named none.
+_folder: dict[str, str] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
     spark = df.sparkSession
@@ -57,9 +63,14 @@ def keeps(name: str, clear: Callable[[], None]) -> None:
 
 
 def claim(name: str) -> None:
-    """Called by a task before it uses what it keeps: what other kinds of tasks left in this worker goes first."""
+    """Called by a task before it uses what it keeps: what other kinds of tasks left in this worker goes first.
+
+    A worker's first task sets the C allocator so that large arrays go back to the system when freed.
+    """
     if _owner[0] == name:
         return
+    if not _owner[0]:
+        _give_back()
     _owner[0] = name
     for other, clear in _kept.items():
         if other != name:
@@ -72,6 +83,16 @@ def claim(name: str) -> None:
         pass
 
 
+def _give_back() -> None:
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # arrays above this size are mapped on their own, whatever was freed before
+        libc.mallopt(-1, 8 << 20)  # free memory at the heap's end beyond this goes back at once
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from crownlake.llm.common import claim, steps, stored, utf8
 
-STEP = 1 << 20
+STEP = 128 << 10
 _symbols: list[np.ndarray] = []
 
 

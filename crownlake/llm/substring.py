@@ -40,7 +40,7 @@ _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 _powers: list[np.ndarray] = []
 keeps("substring", _powers.clear)
 #: Text bytes that one step of hashing works on.
-STEP = 1 << 20
+STEP = 256 << 10
 _PASSAGE = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("row2", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 PASSAGE_DDL = "key long, row long, row2 long, start int, words binary"
 _WINDOWS = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("n", pa.int64())])
@@ -58,7 +58,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, STEP)
         _powers[:] = [np.cumprod(np.full(size, m, np.uint64)) for m in (np.uint64(MULTIPLIER), np.uint64(pow(MULTIPLIER, -1, 1 << 64)))]
     return _powers
 
