@@ -8,7 +8,8 @@ sorted array an order, with a row of log probabilities, one a class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from crownlake.llm.common import claim, steps, stored, utf8
 
 STEP = 128 << 10
+#: Numbers (grams times classes) up to which a model is built on the driver and goes to the workers whole;
+#: a larger one is built by Spark and goes out in shards of about so many.
+WHOLE = 6_000_000
 _symbols: list[np.ndarray] = []
 
 
@@ -102,16 +106,16 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
 
 
 def gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, classes and counts of all rows on the driver, whose memory bounds a model."""
-    t = stored(counts, "grams").toArrow()
+    """Keys, classes and counts of all rows on the driver."""
+    t = counts.toArrow()
     return tuple(t.column(c).to_numpy() for c in ("key", "class", "n"))
 
 
-def sampled(df: DataFrame, rows: int, total: int, seed: int = 7) -> DataFrame:
-    """About `rows` of `total` rows, each by a hash of its place: nothing moves, and copies don't come together."""
-    if total <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * rows / total))
+def sampled(df: DataFrame, on: list[str], rows: int, total: int, seed: int = 7) -> DataFrame:
+    """About `rows` of `total` rows, or fewer where rows repeat: a hash of the columns `on` decides, and copies count once."""
+    if total > rows:
+        df = df.where(F.pmod(F.xxhash64(*on, F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * rows / total))
+    return df.dropDuplicates(on)
 
 
 class Model:
@@ -178,3 +182,112 @@ class Model:
                 out[todo[seen]] += self.back[k][at[seen]]
         out[todo] += np.float32(np.log(1 / 256))
         return out
+
+    @classmethod
+    def of(cls, order: int, classes: int, rows: pa.Table) -> Model:
+        """A model from finished rows (k, head, key, values): its log probabilities are the values."""
+        out = cls.__new__(cls)
+        out.order, out.classes = order, classes
+        out.keys, out.logp, out.heads, out.back = {}, {}, {}, {}
+        k, head, key = (rows.column(c).to_numpy() for c in ("k", "head", "key"))
+        values = rows.column("values").combine_chunks().flatten().to_numpy().reshape(-1, classes)
+        for at in range(1, order + 1):
+            for names, numbers, is_head in ((out.keys, out.logp, False), (out.heads, out.back, True)):
+                own = np.flatnonzero((k == at) & (head == is_head))
+                own = own[np.argsort(key[own])]
+                names[at], numbers[at] = key[own], values[own]
+        return out
+
+
+@dataclass
+class Shards:
+    """A model whose size is not bounded: rows (k, head, key, pair, values) of a stored table, and ranges of pairs.
+
+    A gram's score hangs on its last two context symbols only as far as tables are concerned: all grams
+    and contexts that a backoff from it visits end alike. So these two symbols, the pair, cut the model
+    into parts that score their grams alone; tables of one and two symbols (pair -1) are in every part.
+    """
+
+    rows: DataFrame
+    cuts: list[tuple[int, int]]
+    order: int
+    classes: int
+
+    def load(self, low: int, high: int) -> Model:
+        return Model.of(self.order, self.classes, self.rows.where((F.col("pair") == -1) | (F.col("pair") >= low) & (F.col("pair") < high)).drop("pair").toArrow())
+
+
+def build(counts: DataFrame, classes: int, order: int, shared: bool = False, *, whole: int = WHOLE) -> Shards:
+    """The model of class Model from counts (key, class, n), by joins and sums over all grams."""
+    cols = [f"c{i}" for i in range(classes)]
+    per_class = [F.sum(F.when(F.col("class") == i, F.col("n")).otherwise(0)).cast("double").alias(c) for i, c in enumerate(cols)]
+    table = {order: stored(counts.groupBy("key").agg(*per_class), "grams")}
+    for k in range(order - 1, 0, -1):
+        kinds = [(F.col(c) > 0).cast("double") for c in cols]
+        if shared and k == order - 1 and classes > 1:
+            kinds = [F.greatest(*kinds)] * classes
+        low = table[k + 1].select(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key"), *[x.alias(c) for x, c in zip(kinds, cols, strict=True)])
+        table[k] = stored(low.groupBy("key").agg(*[F.sum(c).alias(c) for c in cols]), "grams")
+    finished, below = [], None
+    for k in range(1, order + 1):
+        t = table[k]
+        once = t.agg(*[F.count_if(F.col(c) == n) for c in cols for n in (1, 2)]).first()
+        d = [min(0.95, max(0.1, once[2 * i] / max(1, once[2 * i] + 2 * once[2 * i + 1]))) for i in range(classes)]
+        both = t.withColumn("head", F.shiftright("key", 8))
+        heads = both.groupBy("head").agg(*[F.sum(c).alias(f"n_{c}") for c in cols], *[F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in cols])
+        lam = [F.when(F.col(f"n_{c}") > 0, F.lit(d[i]) * F.col(f"k_{c}") / F.col(f"n_{c}")).otherwise(1.0).alias(f"l_{c}") for i, c in enumerate(cols)]
+        heads = stored(heads.select("head", *[f"n_{c}" for c in cols], *lam), "contexts")
+        both = both.join(heads, "head")
+        if below is not None:
+            both = both.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "low")
+        lower = [F.lit(1 / 256) if below is None else F.col(f"p_{c}") for c in cols]
+        p = [(F.greatest(F.col(c) - d[i], F.lit(0.0)) / F.greatest(F.col(f"n_{c}"), F.lit(1.0)) + F.col(f"l_{c}") * lower[i]).alias(f"q_{c}") for i, c in enumerate(cols)]
+        now = stored(both.select("key", *p), "probabilities")
+        below = now.select(F.col("key").alias("low"), *[F.col(f"q_{c}").alias(f"p_{c}") for c in cols])
+        for rows, key, name, is_head in ((now, "key", "q_", False), (heads, "head", "l_", True)):
+            values = F.array(*[F.ln(name + c).cast("float") for c in cols]).alias("values")
+            pair = F.col(key) if is_head else F.shiftright(key, 8)
+            pair = pair.bitwiseAND(F.lit(0xFFFF)).cast("int") if k > 2 else F.lit(-1)
+            finished.append(rows.select(F.lit(k).alias("k"), F.lit(is_head).alias("head"), F.col(key).alias("key"), pair.alias("pair"), values))
+    rows = finished[0]
+    for x in finished[1:]:
+        rows = rows.unionByName(x)
+    rows = stored(rows, "model")
+    cuts, low, held = [], 0, 0
+    for r in rows.where("pair >= 0").groupBy("pair").agg(F.count("*").alias("n")).orderBy("pair").toLocalIterator():  # 65,536 pairs at most
+        if held and (held + r.n) * classes > whole:
+            cuts.append((low, r.pair))
+            low, held = r.pair, 0
+        held += r.n
+    return Shards(rows, [*cuts, (low, 1 << 16)], order, classes)
+
+
+def with_sums(docs: DataFrame, model: Model | Shards | None, reduce: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """docs as they are for a whole model; for shards with a column __sums: what `reduce` makes of the log
+    probabilities [places, classes] and the offsets of the texts into them, an array a text, added up.
+
+    Each shard is a pass over docs, written to the shared folder, so a worker holds one shard at a time.
+    """
+    if not isinstance(model, Shards):
+        return docs
+    docs = docs.withColumn("__sums", F.lit(None).cast("binary"))
+    for low, high in model.cuts:
+        sent = docs.sparkSession.sparkContext.broadcast(model.load(low, high))
+
+        def add(batches: Iterator[pa.RecordBatch], sent=sent, low=low, high=high) -> Iterator[pa.RecordBatch]:
+            claim("knlm")
+            part = sent.value
+            for batch in batches:
+                at = batch.schema.get_field_index("__sums")
+                for b in steps(batch, "text", STEP):
+                    sym, place, kept = symbols(*utf8(b.column(b.schema.get_field_index("text"))), part.order)
+                    key = grams(sym, place, part.order)
+                    own = np.flatnonzero(((key >> 8 & 0xFFFF) >= low) & ((key >> 8 & 0xFFFF) < high))
+                    logp = np.zeros((len(key), part.classes), np.float32)
+                    logp[own] = part.score(key[own])
+                    sums = [x if o is None else x + np.frombuffer(o, x.dtype) for x, o in zip(reduce(logp, kept), b.column(at).to_pylist(), strict=True)]
+                    yield b.set_column(at, b.schema.field(at), pa.array([x.tobytes() for x in sums], pa.binary()))
+
+        docs = stored(docs.mapInArrow(add, docs.schema), "scores")
+        sent.unpersist()
+    return docs

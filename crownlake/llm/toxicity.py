@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from crownlake.llm.common import claim, steps, utf8
-from crownlake.llm.knlm import STEP, Model, count_grams, gathered, grams, symbols
+from crownlake.llm.common import claim, steps, stored, utf8
+from crownlake.llm.knlm import STEP, WHOLE, Model, Shards, build, count_grams, gathered, grams, symbols, with_sums
 
 ORDER = 5
 #: Labelled rows that the logistic calibration is fitted on, about so many, chosen by a hash of their doc_id.
@@ -22,21 +22,32 @@ BROADCAST_LABELS = 500_000
 FEATURES = 9
 
 
+def ratios(logp: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio, toxic against ordinary, of each symbol."""
+    return (logp[:, 1] - logp[:, 0]).astype(np.float64)
+
+
+def _rows_of_ratios(logp: np.ndarray, kept: np.ndarray) -> list[np.ndarray]:
+    return np.split(ratios(logp).astype(np.float32), kept[1:-1])
+
+
 def evidence(model: Model, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Features of each text from log-likelihood ratios (toxic against ordinary) of its symbols.
+    """features() of texts by a whole model."""
+    sym, place, kept = symbols(raw, off, model.order)
+    return features(sym[place], kept, ratios(model.score(grams(sym, place, model.order))) if len(place) else np.zeros(0))
+
+
+def features(own: np.ndarray, kept: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Features of each text from its symbols and their log-likelihood ratios (toxic against ordinary).
 
     The ratio a symbol over the whole text; of its words the highest ratio a symbol and the two
     highest sums; the sum of the words' sums above 2.5 nats, and above 4, as they are and a word;
     and the number of words. Sums and numbers as log(1 + x). A text without symbols has zeros.
     """
-    sym, place, kept = symbols(raw, off, model.order)
-    n = len(off) - 1
+    n = len(kept) - 1
     out = np.zeros((n, FEATURES))
-    if not len(place):
+    if not len(own):
         return out
-    logp = model.score(grams(sym, place, model.order))
-    ratio = (logp[:, 1] - logp[:, 0]).astype(np.float64)
-    own = sym[place]
     size = np.diff(kept)
     full = np.flatnonzero(size)
     out[full, 0] = np.add.reduceat(ratio, kept[:-1][full]) / size[full]
@@ -64,16 +75,28 @@ def evidence(model: Model, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Judge:
-    model: Model | None = None
+    model: Model | Shards | None = None
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     centre: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     spread: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
 
-    def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        x = evidence(self.model, raw, off) if self.model else np.zeros((len(off) - 1, FEATURES))
+    def evidence(self, b: pa.RecordBatch) -> np.ndarray:
+        """Features of a batch's texts, by the model or from what passes over its shards have added up."""
+        raw, off = utf8(b.column(b.schema.get_field_index("text")))
+        at = b.schema.get_field_index("__sums")
+        if at >= 0:
+            sym, place, kept = symbols(raw, off, 1)
+            return features(sym[place], kept, np.frombuffer(b"".join(b.column(at).to_pylist()), np.float32).astype(np.float64))
+        return evidence(self.model, raw, off) if self.model else np.zeros((len(off) - 1, FEATURES))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
         z = self.weights[0] + squashed((x - self.centre) / self.spread) @ self.weights[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def without_rows(self) -> Judge:
+        """What workers need of it: shards stay behind, their sums come with the texts."""
+        return replace(self, model=None) if isinstance(self.model, Shards) else self
+
 
 def squashed(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.log1p(np.abs(x))
@@ -94,13 +117,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, rows: int = CALIBRATION_ROWS) -> Judge:
+def fit(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, rows: int = CALIBRATION_ROWS, whole: int = WHOLE) -> Judge:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic 0/1).
 
-    Counts cover all labelled texts; the lower orders of both classes share them, so an expression
-    that either class has hardly seen decides nothing. A doc_id with labels of both kinds counts as
-    toxic; null labels, texts and ids are left out. The calibration is fitted on about `rows` texts of one
-    half of the ids with a model of the other half. With a single class the score is its share.
+    Counts cover all labelled texts and keep all grams; the lower orders of both classes share them,
+    so an expression that either class has hardly seen decides nothing. A model of more than `whole`
+    numbers is built and used in shards, with the same results. A doc_id with labels of both kinds
+    counts as toxic; null labels, texts and ids are left out. The calibration is fitted on about
+    `rows` texts of one half of the ids with a model of the other half. With a single class the score
+    is its share. If the calibration texts are of a single class, the second feature of the ratios,
+    the highest sum of a word, decides alone with the fixed weight 2 against -4.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -108,27 +134,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, rows: int = C
     texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("text"))
     few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     classed = texts.join(F.broadcast(known) if few else known, "k").select("text", (F.col("half") * 2 + F.col("y")).alias("class"))
-    key, cls, n = gathered(count_grams(classed, order))
+    counts = stored(count_grams(classed, order), "grams")
+    seen = {r["class"]: r["count"] for r in counts.groupBy("class").count().collect()}
     rate = known.agg(F.avg("y")).first()[0]
     out = Judge()
-    if not len(key) or len(np.unique(cls % 2)) < 2:
+    if len({c % 2 for c in seen}) < 2:
         out.weights[0] = np.log((rate or 1e-3) / max(1e-3, 1 - (rate or 0)))
         return out
-    first = cls < 2
-    half = Model(key[first], cls[first], n[first], 2, order, shared=True) if len(np.unique(cls[first])) == 2 else None
-    out.model = Model(key, cls % 2, n, 2, order, shared=True)
-    sent = spark.sparkContext.broadcast(half or out.model)
+    halves = {c for c in seen if c < 2} == {0, 1}
+    if sum(seen.values()) * 2 <= whole:
+        key, cls, n = gathered(counts)
+        first = cls < 2
+        other = Model(key[first], cls[first], n[first], 2, order, shared=True) if halves else None
+        out.model = Model(key, cls % 2, n, 2, order, shared=True)
+    else:
+        other = build(counts.where(F.col("class") < 2), 2, order, True, whole=whole) if halves else None
+        out.model = build(counts.withColumn("class", F.col("class") % 2), 2, order, True, whole=whole)
+    judged = replace(out, model=other or out.model)
+    sent = spark.sparkContext.broadcast(judged.without_rows())
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("knlm")
         for batch in batches:
             for b in steps(batch, "text", STEP):
-                x = evidence(sent.value, *utf8(b.column(b.schema.get_field_index("text"))))
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")), pa.array(list(sent.value.evidence(b)), pa.list_(pa.float64()))], names=["y", "x"])
 
-    pool = known.where("half = 1") if half else known
+    pool = known.where("half = 1") if other else known
     share = int((1 << 40) * min(1.0, rows / max(1, pool.count())))
-    sample = pool.where(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 40)) < share)
-    seen = texts.join(F.broadcast(sample.select("k", "y")), "k").select("text", "y").mapInArrow(measured, "y int, x array<double>").collect()
+    sample = pool.where(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 40)) < share).select("k", "y")
+    few = sample.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    chosen = texts.join(F.broadcast(sample) if few else sample, "k").dropDuplicates(["k", "text"]).select("text", "y")
+    seen = with_sums(chosen, judged.model, _rows_of_ratios).mapInArrow(measured, "y int, x array<double>").collect()
     x, y = np.array([r.x for r in seen]).reshape(-1, FEATURES), np.array([r.y for r in seen], float)
     if len(np.unique(y)) == 2:
         out.centre, out.spread = np.median(x, axis=0), x.std(axis=0) + 1e-9
@@ -148,13 +184,14 @@ def judge(docs: DataFrame, judged: Judge, *, keep: list[str] | None = None) -> D
     names = [c for c in (keep or docs.columns) if c not in new]
     base = docs.select(*dict.fromkeys([*names, "text"]))
     schema = StructType(base.select(*names).schema.fields + StructType.fromDDL("score double, predicted int").fields)
-    sent = docs.sparkSession.sparkContext.broadcast(judged)
+    sent = docs.sparkSession.sparkContext.broadcast(judged.without_rows())
+    base = with_sums(base, judged.model, _rows_of_ratios)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("knlm")
         for batch in batches:
             for b in steps(batch, "text", STEP):
-                s = sent.value.scores(*utf8(b.column(b.schema.get_field_index("text"))))
+                s = sent.value.scores(sent.value.evidence(b))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, *new]
                 )
