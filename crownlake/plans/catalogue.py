@@ -30,7 +30,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from crownlake.plans import geometry  # noqa: F401  registers its queries here
+    from crownlake.plans import geometry, rules  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 
@@ -291,18 +291,6 @@ def l2_normalise(spark, d):
     return t.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), F.round(F.col("embedding")[0], 6).alias("first"))
 
 
-@query()
-def kmeans_contract(spark, d):
-    t = vectors.clustered(vectors.normalised(load(spark, d, "embeddings"), "embedding"), 8, features="embedding", tries=3)
-    return t.groupBy("cluster").agg(F.count("*").alias("n"))
-
-
-@query()
-def pca_contract(spark, d):
-    t = vectors.reduced(load(spark, d, "embeddings"), 8, "embedding")
-    return t.select(F.posexplode("embedding").alias("pos", "v")).groupBy("pos").agg(F.count("*").alias("n"), F.round(F.abs(F.avg("v")), 6).alias("mean"))
-
-
 # evaluation ------------------------------------------------------------------------------------
 
 
