@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crownlake.operators import metrics, vectors
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 #: Output schemas by kind of model.
@@ -58,3 +63,24 @@ def _stub_classifier() -> Model:
         return out
 
     return model
+
+
+def trained_head(train: DataFrame, held_out: DataFrame, label: str, features: str = "features", penalties: tuple[float, ...] = (0.001, 0.01, 0.1)) -> tuple[DataFrame, float]:
+    """A class layer on fixed features: held_out with `probs` (array, by class id) and `found`, and its balanced accuracy.
+
+    label: class ids from 0. Features are standardised by train; rare classes weigh more (metrics.class_weights);
+    of the penalties the one with the best mean recall over the classes present counts, the first of equals.
+    Rows without a label are left out of training.
+    """
+    weights = metrics.class_weights(train, label).select(label, "weight")
+    own = vectors.standardised(train.where(F.col(label).isNotNull()), train, features).join(F.broadcast(weights), label)
+    own = own.withColumn("__v", array_to_vector(features)).withColumn("__y", F.col(label).cast("double"))
+    asked = vectors.standardised(held_out, train, features).withColumn("__v", array_to_vector(features))
+    best, out = -1.0, None
+    for p in penalties:
+        head = LogisticRegression(featuresCol="__v", labelCol="__y", weightCol="weight", regParam=p, family="multinomial", probabilityCol="__p", predictionCol="__found", rawPredictionCol="__raw").fit(own)
+        found = head.transform(asked).withColumn("probs", vector_to_array("__p")).withColumn("found", F.col("__found").cast("int")).drop("__v", "__p", "__found", "__raw")
+        recall = found.where(F.col(label).isNotNull()).groupBy(label).agg(F.avg((F.col("found") == F.col(label)).cast("double")).alias("r")).agg(F.avg("r")).first()[0] or 0.0
+        if recall > best:
+            best, out = recall, found
+    return out, best

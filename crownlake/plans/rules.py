@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from crownlake.functions import scalar as S
-from crownlake.operators import filters, height, instances, polygons, raster, tables, vectors
+from crownlake.operators import density, filters, height, instances, polygons, raster, tables, vectors
 from crownlake.plans.catalogue import load, query
 from crownlake.plans.geometry import _BOX, _PIXELS, _SECOND, _SHARE, H, W_, boxes, pixels, second
 from crownlake.sources import codecs, readers, writers
@@ -330,6 +331,30 @@ def surface_npy(spark, d):
     return _decoded(files, decode, "y int, x int, value float")
 
 
+@query(f"""SELECT y, x, value, value * 2 - 40 AS other FROM {_SURFACE}""")
+def surface_tiff(spark, d):
+    """Two bands in tiles of a deflated GeoTIFF and back."""
+
+    def encode(pdf):
+        a = pdf.sort_values(["y", "x"])["value"].to_numpy(float).reshape(H, W_, 1)
+        bands = np.concatenate((a, a * 2 - 40), axis=2).astype(np.float32)
+        return pd.DataFrame([("s.tif", codecs.tiff_encode(bands, tile=16, deflate=True))], columns=["name", "content"])
+
+    def decode(content):
+        a, _ = codecs.tiff_decode(content)
+        return [(y, x, float(a[y, x, 0]), float(a[y, x, 1])) for y in range(a.shape[0]) for x in range(a.shape[1])]
+
+    files = surface(spark).groupBy().applyInPandas(encode, writers.FILE)
+    return _decoded(files, decode, "y int, x int, value double, other double")
+
+
+@query()
+def density_labels(spark, d):
+    """Rows of each density cluster of the embeddings; tests hold the operator against plain definitions."""
+    out = density.density_clusters(vectors.normalised(load(spark, d, "embeddings"), "embedding"), "vec_id", "embedding", least=5)
+    return out.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
 # names -----------------------------------------------------------------------------------------
 
 

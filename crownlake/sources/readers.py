@@ -203,6 +203,27 @@ def depth_pngs(spark: SparkSession, path: str, model: str = "") -> DataFrame:
     return _decoded(raw, "model string, folder string, stem string, height int, width int, values array<float>", decode)
 
 
+def geotiffs(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None, nodata: float | None = None) -> DataFrame:
+    """Rasters (folder, stem, band, height, width, affine, values) of the TIFF files below path, or of a window
+    (x0, y0, x1, y1) of each, whose affine is moved along; nodata and NaN become null. Bands count from 1."""
+    import numpy as np
+
+    def decode(r):
+        a, affine = codecs.tiff_decode(bytes(r["content"]))
+        x0, y0, x1, y1 = window or (0, 0, a.shape[1], a.shape[0])
+        x0, y0 = max(0, x0), max(0, y0)
+        part = a[y0:y1, x0:x1].astype(float)
+        if affine:
+            p, q, c, s, t, f = affine
+            affine = [p, q, c + p * x0 + q * y0, s, t, f + s * x0 + t * y0]
+        for k in range(a.shape[2]):
+            flat = part[:, :, k].ravel()
+            bad = np.isnan(flat) if nodata is None else np.isnan(flat) | (flat == nodata)
+            yield r["folder"], r["stem"], k + 1, part.shape[0], part.shape[1], affine, np.where(bad, None, flat).tolist()
+
+    return _decoded(files(spark, path, (".tif", ".tiff")), "folder string, stem string, band int, height int, width int, affine array<double>, values array<double>", decode)
+
+
 def window(surface_rows: DataFrame, x0: int, y0: int, x1: int, y1: int, out: tuple[int, int]) -> DataFrame:
     """A window of each pre-tiled raster row, averaged down (or repeated up) to `out` (height, width)."""
     import numpy as np

@@ -134,3 +134,27 @@ def test_stream(spark, tmp_path):
     q = labels.arriving_zones(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("zones").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.folder, r.stem, r.label, r.area) for r in spark.table("zones").collect()] == [("d", "f", 2, 3)]
+
+
+def test_geotiffs(spark, tmp_path):
+    a = np.arange(7 * 5 * 2, dtype=np.int16).reshape(7, 5, 2) - 9
+    affine = (0.5, 0.0, 100.0, 0.0, -0.5, 200.0)
+    for k, options in enumerate(({}, {"tile": 16}, {"deflate": True}, {"tile": 32, "deflate": True})):
+        back, where = codecs.tiff_decode(codecs.tiff_encode(a, affine, **options))
+        assert np.array_equal(back, a) and where == affine
+        (tmp_path / f"r{k}.tif").write_bytes(codecs.tiff_encode(a, affine, **options))
+    rows = readers.geotiffs(spark, str(tmp_path), (1, 2, 4, 6), nodata=13).collect()
+    assert len(rows) == 8
+    for r in rows:
+        want = [None if v == 13 else float(v) for v in a[2:6, 1:4, r.band - 1].ravel()]
+        assert (r.height, r.width, r["values"]) == (4, 3, want) and r.affine == [0.5, 0.0, 100.5, 0.0, -0.5, 199.0]
+    # big-endian, one strip, horizontal differences, pixel scale and tie point
+    px = np.array([[3, 5, 6], [250, 1, 2]], np.uint8)
+    fields = [(256, 3, [3]), (257, 3, [2]), (258, 3, [8]), (259, 3, [1]), (273, 4, [8]), (278, 3, [2]), (279, 4, [6]), (317, 3, [2])]
+    body = np.diff(px.astype(np.int16), axis=1, prepend=0).astype(np.uint8).tobytes()
+    scale, tie = struct.pack(">3d", 2, 2, 0), struct.pack(">6d", 0, 0, 0, 10, 20, 0)
+    at = 14 + 2 + 12 * 10 + 4
+    entries = b"".join(struct.pack(">HHI", t, f, 1) + (struct.pack(">HH", v[0], 0) if f == 3 else struct.pack(">I", v[0])) for t, f, v in fields)
+    entries += struct.pack(">HHII", 33550, 12, 3, at) + struct.pack(">HHII", 33922, 12, 6, at + 24)
+    back, where = codecs.tiff_decode(struct.pack(">2sHI", b"MM", 42, 14) + body + struct.pack(">H", 10) + entries + b"\0" * 4 + scale + tie)
+    assert np.array_equal(back[:, :, 0], px) and where == (2.0, 0.0, 10.0, 0.0, -2.0, 20.0)
