@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -74,6 +75,22 @@ def bmp(d: memoryview) -> int:
     return size if size <= len(d) and header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= first <= size else 0
 
 
+#: What was found in the bytes at hand, so that hostile ones are not searched anew from every place.
+_seen: dict = {}
+_MARKER, _PDF_END, _PDF_TABLE = (re.compile(x) for x in (rb"\xff[^\x00\xd0-\xd7]", rb"%%EOF", rb"startxref"))
+
+
+def following(d: memoryview, what: re.Pattern, at: int) -> int:
+    """Where `what` next begins in d, a view of the end of its bytes, from `at` on; -1 if nowhere."""
+    first = len(d.obj) - len(d)
+    start, hit = _seen.get(what, (len(d.obj) + 1, -1))
+    if not (start <= first + at and (hit < 0 or first + at <= hit)):
+        m = what.search(d.obj, first + at)
+        hit = m.start() if m else -1
+        _seen[what] = first + at, hit
+    return hit - first if hit >= 0 else -1
+
+
 def jpeg(d: memoryview) -> int:
     at = 2
     while at + 4 <= len(d) and d[at] == 0xFF:
@@ -84,9 +101,7 @@ def jpeg(d: memoryview) -> int:
             return 0
         at += 2 + struct.unpack_from(">H", d, at + 2)[0]
         if kind == 0xDA:  # entropy-coded data up to the next marker that is neither stuffing nor a restart
-            raw = bytes(d)
-            while (at := raw.find(b"\xff", at)) >= 0 and at + 1 < len(d) and (d[at + 1] == 0 or 0xD0 <= d[at + 1] <= 0xD7):
-                at += 2
+            at = following(d, _MARKER, at)
             if at < 0:
                 return 0
             if at + 2 <= len(d) and d[at + 1] == 0xD9:
@@ -107,21 +122,23 @@ def gzipped(d: memoryview) -> int:
 
 
 def zipped(d: memoryview) -> int:
-    raw = bytes(d)
-    at = raw.find(b"PK\x05\x06")
-    while 0 <= at and at + 22 <= len(raw):
-        size, start = struct.unpack_from("<II", raw, at + 12)
-        end = at + 22 + struct.unpack_from("<H", raw, at + 20)[0]
-        if start + size == at and end <= len(raw):
-            return end
-        at = raw.find(b"PK\x05\x06", at + 4)
-    return 0
+    """The end of an archive whose directory's end record leads back to its first byte."""
+    if "zip" not in _seen:
+        ends = {}
+        for m in re.finditer(rb"PK\x05\x06", d.obj):
+            if m.start() + 22 <= len(d.obj):
+                size, start = struct.unpack_from("<II", d.obj, m.start() + 12)
+                end = m.start() + 22 + struct.unpack_from("<H", d.obj, m.start() + 20)[0]
+                if end <= len(d.obj):
+                    ends.setdefault(m.start() - start - size, end)
+        _seen["zip"] = ends
+    first = len(d.obj) - len(d)
+    return max(0, _seen["zip"].get(first, first) - first)
 
 
 def pdf(d: memoryview) -> int:
-    raw = bytes(d)
-    at = raw.find(b"%%EOF")
-    return at + 5 if at > 0 and b"startxref" in raw[:at] else 0
+    end = following(d, _PDF_END, 0)
+    return end + 5 if 0 <= following(d, _PDF_TABLE, 0) < end else 0
 
 
 def mp4(d: memoryview) -> int:
@@ -135,8 +152,10 @@ def mp4(d: memoryview) -> int:
 
 
 def ogg(d: memoryview) -> int:
-    at = 0
-    while at + 27 <= len(d) and d[at : at + 4] == b"OggS" and d[at + 4] == 0:
+    at, first = 0, len(d.obj) - len(d)
+    broken = _seen.setdefault("ogg", set())  # pages from which no last page is reached
+    while at + 27 <= len(d) and d[at : at + 4] == b"OggS" and d[at + 4] == 0 and first + at not in broken:
+        broken.add(first + at)
         n = d[at + 26]
         end = at + 27 + n + sum(d[at + 27 : at + 27 + n])
         if end > len(d):
@@ -169,6 +188,7 @@ def carve(data: bytes) -> list[tuple[str, int, int]]:
             _magic.add_word(magic.decode("latin-1"), (len(magic), checks))
         _magic.make_automaton()
     found: list[tuple[str, int, int]] = []
+    _seen.clear()
     view, free = memoryview(data), 0
     for end, (n, checks) in _magic.iter(data.decode("latin-1")):
         for at, kind, check in checks:
@@ -179,6 +199,7 @@ def carve(data: bytes) -> list[tuple[str, int, int]]:
                 break
         if free >= len(data):
             break
+    _seen.clear()
     return found
 
 

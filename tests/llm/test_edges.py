@@ -90,6 +90,39 @@ def test_media(docs, empty):
     assert media.text_media(empty).count() == 0
 
 
+def test_hostile_bytes():
+    """Many openings and no end: time grows with the bytes, not with their square."""
+    import time
+
+    from crownlake.llm import sniff
+
+    page = b"OggS" + bytes(22) + b"\0"
+    jpeg = b"\xff\xd8\xff\xda\0\2" + b"\xff\0" * 5
+    for piece in (b"PK\x03\x04ab", b"PK\x03\x04PK\x05\x06" + bytes(18), b"%PDF-1", page, jpeg):
+        start = time.perf_counter()
+        assert sniff.carve(piece * 30_000) == []
+        assert time.perf_counter() - start < 20, piece
+
+
+def test_clashing_columns(spark):
+    """Result columns replace columns of their names, others stay; ties and repeated rows are judged alike."""
+    from crownlake.llm import sniff
+
+    rows = [(1, "a tie", "own", 2.0, 7)] * 2 + [(2, "a tie", "own", 2.0, 7), (3, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, media_type string, score double, predicted int")
+    scored = toxicity.judge(d, toxicity.fit(d, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")))
+    assert scored.columns == ["doc_id", "text", "media_type", "score", "predicted"] and scored.count() == 4
+    assert len({(r.score, r.predicted) for r in scored.where("text = 'a tie'").collect()}) == 1
+    near = simhash.near_duplicates(d.withColumnRenamed("score", "print").withColumnRenamed("predicted", "component_id"))
+    assert near.columns == ["doc_id", "print", "component_id"] and sorted(r.component_id for r in near.collect()) == [1, 1, 1, 3]
+    stored = media.text_media(d.withColumnRenamed("score", "media_bytes")).collect()
+    assert len(stored) == 4 and len({(r.media_sha256, r.payload_sha256) for r in stored if r.doc_id != 3}) == 1
+    kinds = sniff.sniff(d.withColumn("content", d.text.cast("binary")), declared="media_type")
+    assert kinds.columns[-3:] == ["media_type", "corrected", "carved"] and kinds.count() == 4
+    pages = spark.createDataFrame([(1, "<p>one two three four</p>", "t", 9)] * 2, "page_id int, html string, text string, n_chars int")
+    assert extract.main_texts(pages).columns == ["page_id", "html", "text", "n_chars"] and len({tuple(r) for r in extract.main_texts(pages).collect()}) == 1
+
+
 def test_simhash(docs, empty):
     r = simhash.near_duplicates(docs).collect()
     assert len(r) == 10
