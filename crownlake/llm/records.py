@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from crownlake.llm.bpe import default_path, encoder
 from crownlake.llm.common import arrow, scratch, steps
 
-SHARD_BYTES, MAX_SHARDS = 16 << 20, 100_000
+#: Bytes of text of a shard; where that makes more shards than SHARDS they grow, to LARGEST bytes at most.
+SHARD_BYTES, SHARDS, LARGEST = 16 << 20, 100_000, 128 << 20
 LEAST = -(1 << 63)
 _FRAMED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("frame", pa.binary())])
 _INDEX = pa.schema(
@@ -70,7 +71,8 @@ def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, e
     tokenizer = tokenizer or default_path()
     keys = docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     total, rows = keys.agg(F.sum("n"), F.count("*")).first()
-    shards = int(min(MAX_SHARDS, max(1, -(-((total or 0) + 8 * rows) // shard_bytes))))
+    size = (total or 0) + 8 * rows
+    shards = int(max(1, min(SHARDS, -(-size // shard_bytes)), -(-size // LARGEST)))
     cuts = np.array(keys.approxQuantile("k", [i / shards for i in range(1, shards)], max(1e-5, 0.1 / shards)) if shards > 1 and rows else [], np.float64)
     cuts = np.clip(cuts, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
 
@@ -122,7 +124,7 @@ def read_index(spark, path: str) -> DataFrame:
     index_path = scratch(spark, "offset-index")
     files.mapInArrow(_parse, INDEX_DDL).write.parquet(index_path)
     index = spark.read.schema(INDEX_DDL).parquet(index_path)
-    before, bases = 0, []  # one number a shard, at most MAX_SHARDS
+    before, bases = 0, []  # one number a shard of 16 MB or more
     for shard, n in sorted(index.groupBy("shard").agg(F.sum("n_tokens")).collect()):
         bases.append((shard, before))
         before += n

@@ -181,3 +181,16 @@ def test_html_reader(source, texts):
     from crownlake.llm.dom import read
 
     assert [t for n, t in read(source).texts if n >= 0] == texts
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from crownlake.llm.common import scratch, stored, temporary
+
+    with temporary(spark):
+        inner = stored(spark.range(3), "inner")
+        gone = inner.inputFiles()
+        kept = scratch(spark, "kept") + "-outside"
+        inner.write.parquet(kept)
+    assert spark.read.parquet(kept).count() == 3 and gone and not any(Path(p.split(":", 1)[1]).exists() for p in gone)
