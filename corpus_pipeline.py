@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crownlake.llm import decontam, langid, minhash, packing, substring
-from crownlake.llm.common import prepare, stored, table
+from crownlake.llm.common import prepare, scratch, table, temporary
 
 
 def _beside(docs: DataFrame, taken: set[str]) -> DataFrame:
@@ -105,7 +105,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage keeps for itself in the shared folder goes with it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        with temporary(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
