@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+from collections import Counter, defaultdict
+
 import numpy as np
 
 import corpus_pipeline
@@ -25,6 +27,9 @@ def test_near_duplicates_are_confirmed(spark, sf_dir):
     # a chain: each shares 0.8 with the one before and less with the first; a pair that no SimHash radius of 8 is sure to join
     rows += [(10_000 + k, _page("chain", changed=range(5, 5 + 15 * k))) for k in range(8)]
     rows += [(20_000 + 2 * k + c, _page(f"pair{k}x", changed=range(50, 50 + 12 * c))) for k in range(40) for c in (0, 1)]
+    # a family: one page with more and more words changed at random, in mixed order, so that many resemble the first, many nothing, and some each other
+    r = np.random.default_rng(9)
+    rows += [(30_000 + int(k), _page("family", changed=set(r.integers(0, 200, n).tolist()))) for k, n in zip(r.permutation(150), r.integers(0, 40, 150), strict=True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == _kept(rows)
@@ -52,6 +57,68 @@ def test_limits_cover_all_labelled_rows(spark):
     assert abs(all_rows.limits[1] - high - max(high - mid, 0.5)) < 0.02
 
 
+def _kneser_ney(counts, classes, order, shared):
+    """p(class, gram) by dictionaries, from the definition: counts[class][gram as a tuple of symbols]."""
+    table = {order: counts}
+    for k in range(order - 1, 0, -1):
+        kinds = [defaultdict(set) for _ in range(classes)]
+        for c in range(classes):
+            for g in table[k + 1][c]:
+                for to in range(classes) if shared and k == order - 1 else (c,):
+                    kinds[to][g[1:]].add(g[0])
+        table[k] = [{g: len(s) for g, s in own.items()} for own in kinds]
+
+    def p(c, gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        own = table[k][c]
+        once, twice = (sum(n == x for n in own.values()) for x in (1, 2))
+        d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+        here = [n for g, n in own.items() if g[:-1] == gram[:-1]]
+        if not here:
+            return p(c, gram[1:])
+        return max(own.get(gram, 0) - d, 0) / sum(here) + d * len(here) / sum(here) * p(c, gram[1:])
+
+    return p
+
+
+def test_models_against_dictionaries(spark):
+    """Driver-built models and shards built by Spark: all grams of both classes, and grams that neither has."""
+    from crownlake.llm import knlm
+
+    r = np.random.default_rng(5)
+    for order, shared in ((4, False), (5, True)):
+        counts = [Counter(tuple(x) for x in r.integers(0, 4 + c, (400, order)).tolist()) for c in (0, 1)]
+        rows = [(int.from_bytes(bytes(g), "big"), c, n) for c in (0, 1) for g, n in counts[c].items()]
+        p = _kneser_ney(counts, 2, order, shared)
+        asked = [*{g for c in counts for g in c}][:150] + [tuple(x) for x in r.integers(0, 6, (60, order)).tolist()]
+        keys = np.array([int.from_bytes(bytes(g), "big") for g in asked])
+        want = np.log([[p(c, g) for c in (0, 1)] for g in asked])
+        model = knlm.Model(*(np.array(x) for x in zip(*rows, strict=True)), 2, order, shared)
+        assert np.abs(model.score(keys) - want).max() < 1e-4
+        shards = knlm.build(spark.createDataFrame(rows, "key long, class int, n long"), 2, order, shared, whole=600)
+        assert len(shards.cuts) > 2 and shards.cuts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(shards.cuts, shards.cuts[1:], strict=False))
+        pair = keys >> 8 & 0xFFFF
+        got = np.zeros_like(want)
+        for low, high in shards.cuts:
+            own = (pair >= low) & (pair < high)
+            got[own] = shards.load(low, high).score(keys[own])
+        assert np.abs(got - want).max() < 1e-4
+
+
+def test_shards_judge_alike(spark, sf_dir):
+    """A model above the bound gives the results of one below it."""
+    from crownlake.llm import langid, toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 0")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = [{r.doc_id: (r.lang_pred, r.rejected, r.score) for r in langid.identify(docs, langid.fit(docs.repartition(n), whole=whole)).collect()} for n, whole in ((2, 10**9), (3, 40_000))]
+    assert all(found[0][i][:2] == found[1][i][:2] and abs(found[0][i][2] - found[1][i][2]) < 1e-3 for i in found[0])
+    scored = [{r.doc_id: r.score for r in toxicity.judge(docs, toxicity.fit(docs.repartition(n), labels, whole=whole)).collect()} for n, whole in ((2, 10**9), (3, 60_000))]
+    assert scored[0].keys() == scored[1].keys() and max(abs(scored[0][i] - scored[1][i]) for i in scored[0]) < 1e-3
+
+
 def test_models_keep_all_grams(spark):
     from crownlake.llm.knlm import gathered
 
