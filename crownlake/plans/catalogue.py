@@ -30,7 +30,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from crownlake.plans import geometry, rules  # noqa: F401  register their queries here
+    from crownlake.plans import files, geometry, rules  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 
