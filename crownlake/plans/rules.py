@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crownlake.functions import scalar as S
 from crownlake.operators import density, filters, height, instances, polygons, raster, tables, vectors
+from crownlake.plans import chains
 from crownlake.plans.catalogue import load, query
 from crownlake.plans.geometry import _BOX, _PIXELS, _SECOND, _SHARE, H, W_, boxes, pixels, second
 from crownlake.sources import codecs, readers, writers
@@ -294,6 +295,31 @@ def two_models_suppressed(spark, d):
     return instances.suppressed(tables.union_all([first, other]), ["frame"], 0.5).select("frame", "id")
 
 
+_CHOICE = "SELECT p_brand AS seed, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY {} DESC, p_partkey) AS rn FROM (SELECT *, p_partkey % 97 + 1 AS area FROM part)"
+
+
+@query(f"""SELECT seed, b.id AS basin, s.id AS score, a.id AS area FROM ({_CHOICE.format("p_size")}) b JOIN ({_CHOICE.format("p_retailprice")}) s USING (seed) JOIN ({_CHOICE.format("-abs(ln(area / 41))")}) a USING (seed) WHERE b.rn = 1 AND s.rn = 1 AND a.rn = 1""")
+def candidate_choice(spark, d):
+    t = load(spark, d, "part").select(F.col("p_brand").alias("seed"), F.col("p_partkey").alias("id"), (F.col("p_size") / 50).alias("basin_iou"), F.col("p_retailprice").alias("score"), (F.col("p_partkey") % 97 + 1).alias("area"), F.lit(41).alias("expected"))
+    out = None
+    for way in ("basin", "score", "area"):
+        one = instances.candidate_per_seed(t, [], way).select("seed", F.col("id").alias(way))
+        out = one if out is None else out.join(one, "seed")
+    return out
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT * FROM {_PIXELS} WHERE y % 12 < 9), b AS (SELECT * FROM {_PIXELS} WHERE x % 16 < 13), n AS (SELECT a.label AS p, b.label AS t, count(*) AS n FROM a JOIN b USING (y, x) GROUP BY 1, 2),
+i AS (SELECT p, t, n / (pa + ta - n) AS iou FROM n JOIN (SELECT label AS p, count(*) AS pa FROM a GROUP BY 1) USING (p) JOIN (SELECT label AS t, count(*) AS ta FROM b GROUP BY 1) USING (t)),
+c AS (SELECT p, list({{'iou': iou, 't': t}} ORDER BY iou, t) AS c FROM i WHERE iou >= 0.5 GROUP BY 1), r AS (SELECT label AS p, coalesce(c.c, []) AS c, row_number() OVER (ORDER BY label) AS rn FROM (SELECT DISTINCT label FROM a) LEFT JOIN c ON c.p = label),
+m AS (SELECT p, rn, c[-1] AS best, list_filter([c[-1].t], lambda x: x IS NOT NULL) AS taken FROM r WHERE rn = 1 UNION ALL SELECT r.p, r.rn, list_filter(r.c, lambda q: NOT list_contains(m.taken, q.t))[-1],
+list_concat(m.taken, list_filter([list_filter(r.c, lambda q: NOT list_contains(m.taken, q.t))[-1].t], lambda x: x IS NOT NULL)) FROM m JOIN r ON r.rn = m.rn + 1)
+SELECT 'north' AS area, count(*) AS pred, (SELECT count(DISTINCT label) FROM b) AS gt, count(best.t) AS hits, round(coalesce(sum(best.iou) / nullif(count(best.t), 0), 0), 6) AS mean_iou, round(count(best.t) / count(*), 6) AS precision FROM m""")
+def label_map_evaluation(spark, d):
+    px = pixels(spark, d).withColumn("stem", F.lit("north_01"))
+    out = chains.label_map_metrics(raster.runs(px.where("y % 12 < 9"), ["stem"]), raster.runs(px.where("x % 16 < 13"), ["stem"]))
+    return out.select("area", "pred", "gt", "hits", F.round("mean_iou", 6).alias("mean_iou"), F.round("precision", 6).alias("precision"))
+
+
 # files in memory -------------------------------------------------------------------------------
 
 
