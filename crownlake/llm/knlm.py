@@ -252,7 +252,7 @@ def build(counts: DataFrame, classes: int, order: int, shared: bool = False, *,
     rows = finished[0]
     for x in finished[1:]:
         rows = rows.unionByName(x)
-    rows = stored(rows, "model")
+    rows = stored(rows.repartitionByRange("pair").sortWithinPartitions("pair"), "model")  # a shard is read from few files
     cuts, low, held = [], 0, 0
     for r in rows.where("pair >= 0").groupBy("pair").agg(F.count("*").alias("n")).orderBy("pair").toLocalIterator():  # 65,536 pairs at most
         if held and (held + r.n) * classes > whole:
