@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from crownlake.functions import scalar as S
-from crownlake.operators import density, filters, height, instances, polygons, raster, tables, vectors
+from crownlake.operators import density, filters, height, instances, joins, metrics, polygons, raster, tables, vectors
 from crownlake.plans import chains
 from crownlake.plans.catalogue import load, query
 from crownlake.plans.geometry import _BOX, _PIXELS, _SECOND, _SHARE, H, W_, boxes, pixels, second
@@ -320,6 +320,48 @@ def label_map_evaluation(spark, d):
     return out.select("area", "pred", "gt", "hits", F.round("mean_iou", 6).alias("mean_iou"), F.round("precision", 6).alias("precision"))
 
 
+@query(f"""WITH h AS (SELECT t.frame, t.id, EXISTS (SELECT 1 FROM (SELECT {_BOX}, p_brand AS frame FROM part) f WHERE f.id % 2 = 0 AND f.frame = t.frame AND f.x0 < t.x1 AND t.x0 < f.x1 AND f.y0 < t.y1 AND t.y0 < f.y1) AS hit FROM (SELECT {_BOX}, p_brand AS frame FROM part) t WHERE id % 2 = 1),
+n AS (SELECT frame, count(*) AS gt, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) // 2 AS extra FROM h GROUP BY 1), p AS (SELECT *, (hits + extra) / greatest(1, hits + 10 + extra) AS p, (hits + extra) / greatest(1, gt) AS r FROM n)
+SELECT frame, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(1e-9, p + r), 6) AS f1 FROM p""")
+def ceiling_bounds(spark, d):
+    """What half of the missed boxes would add: bounds of precision, recall and f1 of each frame."""
+    b = boxes(spark, d)
+    truth, found = b.where("id % 2 = 1"), b.where("id % 2 = 0")
+    gone = joins.hit_by_any(truth, found, ["frame"], "id", 64, missed=True).groupBy("frame").agg(F.count("*").alias("gone"))
+    n = truth.groupBy("frame").agg(F.count("*").alias("gt")).join(gone, "frame", "left").fillna(0, ["gone"])
+    n = n.withColumn("hits", F.col("gt") - F.col("gone")).withColumn("extra", F.floor(F.col("gone") / 2))
+    bounds = metrics.ceiling(F.col("hits"), F.col("extra"), F.col("hits") + 10, F.col("gt"))
+    return n.select("frame", *[F.round(c, 6).alias(name) for c, name in zip(bounds, ("precision", "recall", "f1"), strict=True)])
+
+
+@query(f"""SELECT id, coalesce(label, 0)::INTEGER AS label, label IS NOT NULL AS covered FROM (SELECT id, y0 % {H} AS y, x0 % {W_} AS x FROM (SELECT {_BOX} FROM part)) LEFT JOIN (SELECT * FROM {_PIXELS} WHERE x % 16 < 12) USING (y, x)""")
+def point_lookup(spark, d):
+    """Peaks against a label raster: which label lies under each, and whether any does."""
+    peaks = boxes(spark, d).select("id", (F.col("y0") % H).alias("y"), (F.col("x0") % W_).alias("x"))
+    under = joins.dimension(peaks, pixels(spark, d).where("x % 16 < 12"), ["y", "x"], "left")
+    return under.select("id", F.coalesce("label", F.lit(0)).cast("int").alias("label"), F.col("label").isNotNull().alias("covered"))
+
+
+@query("""SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders, sum(CASE WHEN o_totalprice > 150000 THEN round(ln(o_totalprice::DOUBLE), 6) END) IS NULL AS none FROM orders GROUP BY 1""")
+def lists_by_key(spark, d):
+    price = F.col("o_totalprice").cast("double")
+    t = load(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"), F.sum(F.when(price > 150000, F.round(F.ln(price), 6))).isNull().alias("none"))
+    return t.select("o_custkey", F.array_join(F.col("l").cast("array<string>"), ",").alias("orders"), "none")
+
+
+@query("""SELECT l_linenumber AS route, l_tax::DOUBLE AS p, round(m, 6) AS mae_m, n FROM (SELECT l_linenumber, l_tax, avg(l_extendedprice::DOUBLE) AS m, count(*) AS n, row_number() OVER (PARTITION BY l_linenumber ORDER BY avg(l_extendedprice::DOUBLE), l_tax) AS rn FROM lineitem GROUP BY 1, 2) WHERE rn = 1""")
+def best_route(spark, d):
+    t = load(spark, d, "lineitem").select(F.col("l_linenumber").alias("route"), F.col("l_tax").cast("double").alias("p"), F.col("l_extendedprice").cast("double").alias("mae_m"))
+    return height.best_route(t, ["p"]).select("route", "p", F.round("mae_m", 6).alias("mae_m"), "n")
+
+
+@query(f"""SELECT id, round((x0 - 500) / (1000 - y0 * 0.001::DOUBLE) * 800, 5) AS u, round((y0 - 400) / (1000 - y0 * 0.001::DOUBLE) * 800, 5) AS v, round(1000 - y0 * 0.001::DOUBLE, 6) AS depth FROM (SELECT {_BOX} FROM part)""")
+def camera_above(spark, d):
+    """Points seen by a camera that looks straight down; its right is x, its up is y."""
+    u, v, depth = height.look_at((500.0, 400.0, 1000.0), (500.0, 400.0, 0.0), F.col("x0").cast("double"), F.col("y0").cast("double"), F.col("y0") * 0.001, 800.0)
+    return boxes(spark, d).select("id", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"), F.round(depth, 6).alias("depth"))
+
+
 # files in memory -------------------------------------------------------------------------------
 
 
