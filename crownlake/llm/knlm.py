@@ -161,7 +161,11 @@ class Model:
         return keys, out
 
     def score(self, key: np.ndarray) -> np.ndarray:
-        """Log probabilities [grams, classes] of packed grams of the model's order."""
+        """Log probabilities [grams, classes] of packed grams of the model's order; each different gram is looked up once."""
+        kinds, which = np.unique(key, return_inverse=True)
+        return self._looked_up(kinds)[which]
+
+    def _looked_up(self, key: np.ndarray) -> np.ndarray:
         out = np.zeros((len(key), self.classes), np.float32)
         todo = np.arange(len(key))
         for k in range(self.order, 0, -1):
