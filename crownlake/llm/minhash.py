@@ -86,7 +86,8 @@ def _round(keys: DataFrame, sets: DataFrame, similarity: float, heads: int) -> t
     places leave no room for the similarity is not compared.
     """
     ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("place"))).where(F.col("rank") <= heads)
-    first = ranked.select(F.col("key").alias("key1"), F.col("place").alias("head"), F.col("at").alias("at1"), F.col("size").alias("size1"))
+    # stored, so that a small one is broadcast by its size and the join with a large one may split a crowded bucket
+    first = stored(ranked.select(F.col("key").alias("key1"), F.col("place").alias("head"), F.col("at").alias("at1"), F.col("size").alias("size1")), "heads")
     room = 1 + F.least(F.col("size") - F.col("at"), F.col("size1") - F.col("at1")) - 1
     fits = room + 1e-6 >= similarity / (1 + similarity) * (F.col("size") + F.col("size1"))
     pairs = keys.join(first, (F.col("key") == F.col("key1")) & (F.col("head") < F.col("place")) & fits).select("head", "place").distinct()
@@ -94,7 +95,7 @@ def _round(keys: DataFrame, sets: DataFrame, similarity: float, heads: int) -> t
     pairs = pairs.join(sets.select(F.col("node").alias("n1"), F.col("grams").alias("led")), F.col("head.node") == F.col("n1"))
     both = F.size(F.array_intersect("grams", "led"))
     alike = stored(pairs.where(both / (F.size("grams") + F.size("led") - both) >= similarity).select("head", "place"), "alike")
-    known = keys.groupBy("place").agg(F.count("*").alias("n")).join(ranked.groupBy("place").agg(F.count("*").alias("m")), "place").where("n = m")
+    known = keys.groupBy("place").agg(F.count("*").alias("n")).join(first.groupBy(F.col("head").alias("place")).agg(F.count("*").alias("m")), "place").where("n = m")
     stays = stored(known.select("place").join(alike.select("place"), "place", "left_anti"), "stay")
     drops = stored(alike.join(stays.select(F.col("place").alias("head")), "head", "left_semi").select("place").distinct(), "drop")
     return stays, drops
