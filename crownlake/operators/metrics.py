@@ -43,20 +43,20 @@ def ap_linear101(rows: DataFrame, truths: DataFrame, by: Sequence[str], score: s
     """
     cuts = rows.groupBy(*by).agg(F.percentile_approx(score, [k / bins for k in range(1, bins)], 1000).alias("__cuts"))
     bin_ = F.when(F.col(score).isNull(), bins).otherwise(F.size(F.filter("__cuts", lambda c: c > F.col(score))))
-    run = rows.join(cuts, list(by)).withColumn("__bin", bin_).drop("__cuts")
-    own = W.partitionBy(*by, "__bin").orderBy(F.desc(score), *order)
-    run = run.withColumn("rank", F.row_number().over(own)).withColumn("tp", F.sum(F.col(hit).cast("long")).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    run = rows.join(cuts, list(by)).select(*dict.fromkeys([*by, score, *order]), F.col(hit).cast("long").alias("__hit"), bin_.alias("__bin"))
     before = W.partitionBy(*by).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    size = run.groupBy(*by, "__bin").agg(F.max("rank").alias("__n"), F.coalesce(F.max("tp"), F.lit(0)).alias("__hits"))
+    size = run.groupBy(*by, "__bin").agg(F.count("*").alias("__n"), F.sum("__hit").alias("__hits"))
     size = size.select(*by, "__bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__n", "__hits")])
+    own = W.partitionBy(*by, "__bin").orderBy(F.desc(score), *order)
+    run = run.withColumn("rank", F.row_number().over(own)).withColumn("tp", F.sum("__hit").over(own.rowsBetween(W.unboundedPreceding, 0)))
     run = run.join(size, [*by, "__bin"]).withColumn("rank", F.col("rank") + F.col("__n")).withColumn("tp", F.coalesce("tp", F.lit(0)) + F.col("__hits"))
     run = run.select(*by, "__bin", "rank", "tp", (F.col("tp") / F.col("rank")).alias("p"))
     behind = W.partitionBy(*by).orderBy(F.desc("__bin")).rowsBetween(W.unboundedPreceding, -1)
     most = run.groupBy(*by, "__bin").agg(F.max("p").alias("__p")).select(*by, "__bin", F.max("__p").over(behind).alias("__later"))
     from_right = W.partitionBy(*by, "__bin").orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
-    run = run.join(most, [*by, "__bin"]).withColumn("env", F.greatest(F.max("p").over(from_right), "__later")).join(truths.where("n_true > 0"), list(by))
-    top = run.groupBy(*by).agg(F.max("tp").alias("most"), F.min("tp").alias("least"), F.min_by("env", "rank").alias("p_first"), F.first("n_true").alias("n_true"))
+    run = run.join(most, [*by, "__bin"]).withColumn("env", F.greatest(F.max("p").over(from_right), "__later"))
     ends = run.groupBy(*by, "tp").agg(F.max_by("env", "rank").alias("p_end"), F.min_by("env", "rank").alias("p_start"))
+    top = ends.groupBy(*by).agg(F.max("tp").alias("most"), F.min("tp").alias("least"), F.min_by("p_start", "tp").alias("p_first")).join(truths.where("n_true > 0"), list(by))
     # recall rises by one hit at a time: a piece holds the grid points from its recall up to the next one's
     pieces = ends.select(*by, "tp", "p_end").join(top.select(*by, "most", "n_true"), list(by))
     r, r2 = F.col("tp") / F.col("n_true"), (F.col("tp") + 1) / F.col("n_true")
